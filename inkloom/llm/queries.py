@@ -1,6 +1,7 @@
 """The queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
+from inkloom.llm.jaccard import op1_ngram_jaccard
 from inkloom.llm.repeats import op9_substring_dedup
 
-QUERIES = {"op9_substring_dedup": op9_substring_dedup}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op9_substring_dedup": op9_substring_dedup}
 ORACLES: dict[str, str] = {}
