@@ -1,7 +1,12 @@
 """The queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
-from inkloom.llm.jaccard import op1_ngram_jaccard
-from inkloom.llm.repeats import op9_substring_dedup
+from inkloom.llm import jaccard, lines, mixing, packing, repeats
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op9_substring_dedup": op9_substring_dedup}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
+    "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_best_fit": packing.op4_best_fit,
+    "op6_line_dedup": lines.op6_line_dedup,
+    "op9_substring_dedup": repeats.op9_substring_dedup,
+}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op6_line_dedup": lines.ORACLE}
