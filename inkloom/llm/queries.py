@@ -1,12 +1,14 @@
 """The queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
-from inkloom.llm import jaccard, lines, mixing, packing, repeats
+from inkloom.llm import jaccard, lines, mixing, packing, repeats, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_best_fit": packing.op4_best_fit,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op8_warc": warc.op8_warc,
     "op9_substring_dedup": repeats.op9_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op6_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op6_line_dedup": lines.ORACLE, "op8_warc": warc.ORACLE}

@@ -73,11 +73,13 @@ class Words:
     """Word hashes of texts. ``hashes(data, offsets)`` gives, over all texts, each word's start, end and hashes (one
     array for each seed), and the number of the first word of each text, with the total at the end."""
 
-    def __init__(self, seeds: tuple[int, ...] = (1,), lower: bool = False):
-        self.tables, self.space, self.powers = [byte_table(s, lower) for s in seeds], spaces(), Powers(_ODD)
+    def __init__(self, seeds: tuple[int, ...] = (1,), lower: bool = False, prefixes: tuple[int, ...] = ()):
+        """prefixes: for the first seed, also the hashes of each word's first so many bytes, after the words' own; 0
+        where a word isn't longer."""
+        self.tables, self.space, self.powers, self.prefixes = [byte_table(s, lower) for s in seeds], spaces(), Powers(_ODD), prefixes
 
     def hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-        starts, ends, out, at = [], [], [[] for _ in self.tables], 0
+        starts, ends, out, at = [], [], [[] for _ in range(len(self.tables) + len(self.prefixes))], 0
         edge = offsets[1:-1]
         while at < len(data):
             to = min(at + BLOCK, len(data))
@@ -105,6 +107,9 @@ class Words:
                 total = np.zeros(len(part) + 1, np.uint64)
                 np.cumsum(t[part] * power[: len(part)], out=total[1:])
                 out[k].append(mix((total[e] - total[s]) * inverse[s]))
+                for j, n in enumerate(self.prefixes if k == 0 else ()):
+                    cut = np.where(s + n < e, s + n, s)
+                    out[len(self.tables) + j].append(mix((total[cut] - total[s]) * inverse[s] * np.uint64(2 * n + 1)))
             starts.append(s + at)
             ends.append(e + at)
             at = to
