@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
-from inkloom.llm import jaccard, lines, mixing, packing, repeats, toxicity, warc
+from inkloom.llm import jaccard, langid, lines, mixing, packing, repeats, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_best_fit": packing.op4_best_fit,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_language_id": langid.op7_language_id,
     "op8_warc": warc.op8_warc,
     "op9_substring_dedup": repeats.op9_substring_dedup,
 }
