@@ -210,7 +210,7 @@ def _common(a: str, b: str):
     return F.size(F.array_intersect(a, b))
 
 
-def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int = 3, group_rows: int = 64, block: int = 8 << 20, bucket_shingles: int = 4_000_000) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int = 3, group_rows: int = 64, block: int = 3 << 20, bucket_shingles: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text; other columns are not read).
 
     Words are lower-cased (A-Z); a set is the distinct k-word shingles of the whole text, with fewer words the whole
