@@ -245,7 +245,7 @@ def drop_words(width: int):
     return drop
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, sketch_bits: int = 26, block: int = 8 << 20, bucket_words: int = 4_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, sketch_bits: int = 26, block: int = 4 << 20, bucket_words: int = 2_000_000) -> DataFrame:
     """Documents without the words that windows of ``width`` words share with a smaller document.
 
     docs has doc_id and text; other columns stay as they are. Windows are judged on the input. The result's text is the
