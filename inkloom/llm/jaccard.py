@@ -139,9 +139,34 @@ def spread(k: int, block: int, buckets: int):
     return run
 
 
-def shared_counts(table: pa.Table) -> pa.Table:
-    """For each class with shingles in the bucket: how many of them another class holds too. A class in several blocks
-    counts once for each, which can only keep it in."""
+def shared_counts(parts: int):
+    """For each class with shingles in the bucket: how many of them another class holds too, packed by part of the
+    classes. A class in several blocks counts once for each, which can only keep it in."""
+
+    def run(table: pa.Table) -> pa.Table:
+        who, n = _shared(table)
+        part = (W.mix(who.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, who, n = part[order], who[order], n[order]
+        cut = _starts(part)
+        ends = np.append(cut[1:], len(part)) if len(part) else cut
+        return pa.table({"part": pa.array(part[cut], pa.int32()), "fas": pa.array([who[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())})
+
+    return run
+
+
+def _sums(who: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    who, inverse = np.unique(who, return_inverse=True)
+    return who, np.bincount(inverse, n, len(who)).astype(np.int64)
+
+
+def sum_counts(table: pa.Table) -> pa.Table:
+    """fa and its counts over all buckets."""
+    who, n = _sums(*(np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("fas", "counts")))
+    return pa.table({"fa": pa.array(who), "shared": pa.array(n)})
+
+
+def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     tails, prints, extra_print, extra = [], [], [], []
     for classes, tail, owner in zip(*(table.column(c).to_pylist() for c in ("classes", "tails", "owners"))):
         m = len(classes) // 12
@@ -164,8 +189,7 @@ def shared_counts(table: pa.Table) -> pa.Table:
     hit = np.repeat(settled | differ, size) & (x & np.uint64(1) == 0)
     who = np.concatenate([fa[hit], *extra_print])
     n = np.concatenate([np.ones(int(hit.sum()), np.int64), *extra]).astype(np.int64)
-    who, inverse = np.unique(who, return_inverse=True)
-    return pa.table({"fa": pa.array(who), "shared": pa.array(np.bincount(inverse, n, len(who)).astype(np.int64))})
+    return _sums(who, n)
 
 
 def sets_and_bands(k: int, block: int, bands: int, rows: int):
@@ -210,7 +234,7 @@ def _common(a: str, b: str):
     return F.size(F.array_intersect(a, b))
 
 
-def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int = 3, group_rows: int = 64, block: int = 3 << 20, bucket_shingles: int = 1_500_000) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int = 3, group_rows: int = 64, block: int = 3 << 20, bucket_shingles: int = 1_500_000, class_part: int = 25_000) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text; other columns are not read).
 
     Words are lower-cased (A-Z); a set is the distinct k-word shingles of the whole text, with fewer words the whole
@@ -225,10 +249,12 @@ def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int
     signed = scratch.save(docs.mapInArrow(sign(k, block), "doc_id long, n long, fa long, fb long"), "signed")
     classes = scratch.save(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
 
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    total, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     buckets = int(max(16, total // bucket_shingles))
     spreaded = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(spread(k, block, buckets), "bucket int, classes binary, tails binary, owners binary")
-    shared = spreaded.groupBy("bucket").applyInArrow(shared_counts, "fa long, shared long").groupBy("fa").agg(F.sum("shared").alias("shared"))
+    parts = int(max(8, n_classes // class_part))
+    packed = spreaded.groupBy("bucket").applyInArrow(shared_counts(parts), "part int, fas binary, counts binary")
+    shared = packed.groupBy("part").applyInArrow(sum_counts, "fa long, shared long")
     left = scratch.save(classes.join(shared, "fa").where(DEN * F.col("shared") >= NUM * F.col("n")).select("rep", "n"), "left")
 
     found = left.select(F.col("rep").alias("doc_id")).distinct()
