@@ -31,9 +31,10 @@ def remove_repeated_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     held = long.select("doc_id", "_key", lines.alias("l"))
     joined = F.transform(
         F.sequence(F.lit(1), F.size("l") - (window - 1)),
-        lambda i: F.struct(i.alias("at"), F.array_join(F.slice("l", i, window), "\n").alias("w")),
+        lambda i: F.struct(i.alias("at"), F.concat_ws("\n", *[F.get("l", i + j) for j in range(-1, window - 1)]).alias("w")),
     )
-    windows = held.select("doc_id", "_key", F.inline(joined)).select("doc_id", "_key", "at", F.xxhash64("w").alias("ha"), F.xxhash64(F.lit(1), F.reverse("w"), F.length("w")).alias("hb"))
+    # outer, since a filter on the array's size would be pushed below the lines and split the text again for each line
+    windows = held.select("doc_id", "_key", F.inline_outer(joined)).where("at IS NOT NULL").select("doc_id", "_key", "at", F.xxhash64("w").alias("ha"), F.xxhash64(F.lit(1), F.reverse("w"), F.length("w")).alias("hb"))
     place = F.struct("doc_id", "_key", "at")
     first = windows.groupBy("ha", "hb").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("ha", "hb", "first")
     again = windows.join(first, ["ha", "hb"]).where(place > F.col("first"))
