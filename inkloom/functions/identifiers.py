@@ -16,22 +16,20 @@ def _plain(raw) -> Column:
     return F.upper(F.regexp_replace(F.translate(col(raw), DIGITS, "0123456789" * 2), r"(?i)^\s*isbn(?:[\s\-]?1[03])?\s*[:.]?|[\s\-‐–]", ""))
 
 
-def _digit_sum(s: Column, n: int, weight) -> Column:
-    out = F.lit(0)
-    for i in range(n):
-        ch = F.substring(s, i + 1, 1)
-        out = out + weight(i) * F.when(ch == "X", 10).otherwise(F.expr("0") + ch.try_cast("int"))
-    return out
+def _digit_sum(s: Column, weights: list[int]) -> Column:
+    digits = F.transform(F.filter(F.split(s, ""), lambda d: d != ""), lambda d: F.when(d == "X", 10).otherwise(d.try_cast("int")))
+    products = F.zip_with(digits, F.array(*map(F.lit, weights)), lambda d, w: F.coalesce(d * w, F.lit(0)))
+    return F.aggregate(products, F.lit(0), lambda t, x: t + x)
 
 
 def isbn13(raw) -> Column:
     """The 13 digits of a valid ISBN of 10 or 13, null for anything else. One digit over and over is a placeholder."""
     s = _plain(raw)
     placeholder = s.rlike(r"^(?:97[89])?([0-9])\1+$")
-    ten_ok = s.rlike("^[0-9]{9}[0-9X]$") & (_digit_sum(s, 10, lambda i: 10 - i) % 11 == 0)
-    thirteen_ok = s.rlike("^97[89][0-9]{10}$") & (_digit_sum(s, 13, lambda i: 1 + 2 * (i % 2)) % 10 == 0)
+    ten_ok = s.rlike("^[0-9]{9}[0-9X]$") & (_digit_sum(s, [10, 9, 8, 7, 6, 5, 4, 3, 2, 1]) % 11 == 0)
+    thirteen_ok = s.rlike("^97[89][0-9]{10}$") & (_digit_sum(s, [1, 3] * 6 + [1]) % 10 == 0)
     core = F.concat(F.lit("978"), F.substring(s, 1, 9))
-    check = F.pmod(10 - F.pmod(_digit_sum(core, 12, lambda i: 1 + 2 * (i % 2)), F.lit(10)), F.lit(10))
+    check = F.pmod(10 - F.pmod(_digit_sum(core, [1, 3] * 6), F.lit(10)), F.lit(10))
     return F.when(placeholder, None).when(thirteen_ok, s).when(ten_ok, F.concat(core, check.cast("string")))
 
 

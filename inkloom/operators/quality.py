@@ -126,7 +126,8 @@ def detect_language(text, least_letters: int = 40) -> Column:
     """code and confidence by the share of each language's frequent words; empty and 0 under so many letters."""
     sample = prose_sample(text)
     words = F.split(F.lower(sample), r"[^\p{L}]+")
-    shares = [F.struct((F.size(F.filter(words, lambda w, known=known.split(): w.isin(known))) / F.greatest(F.size(words), F.lit(1))).alias("share"), F.lit(code).alias("code")) for code, known in FREQUENT.items()]
+    known = lambda frequent: F.size(F.filter(words, lambda w: w.isin(frequent)))
+    shares = [F.struct((known(frequent.split()) / F.greatest(F.size(words), F.lit(1))).alias("share"), F.lit(code).alias("code")) for code, frequent in FREQUENT.items()]
     order = F.sort_array(F.array(*shares), False)
     best, second = order[0], order[1]
     confidence = F.when(best["share"] > 0, best["share"] / (best["share"] + second["share"])).otherwise(0.0)

@@ -35,7 +35,8 @@ def bm25(rows: DataFrame, ident: str, field: str, words: list[str], k1: float =
     grams = sorted({g for w in words for g in (w.lower()[i : i + 3] for i in range(len(w) - 2))})
     sized = rows.select(ident, field, F.size(trigrams(field)).alias("dl"))
     total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    counts = lambda f: F.array(*[F.size(F.filter(trigrams(f), lambda t, g=g: t == g)) for g in grams])
+    occurrences = lambda f, g: F.size(F.filter(trigrams(f), lambda t: t == g))
+    counts = lambda f: F.array(*[occurrences(f, g) for g in grams])
     freq = rows.select(F.posexplode(counts(field)).alias("g", "tf")).where("tf > 0").groupBy("g").agg(F.count("*").alias("df"))
     weight = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     idf = freq.crossJoin(F.broadcast(total)).select(F.struct("g", weight.alias("idf")).alias("x"), "avgdl")

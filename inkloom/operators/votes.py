@@ -31,7 +31,8 @@ def title_vote(rows: DataFrame, key: str, title: str, authors: str, order: str)
     votes = rows.select(key, F.col(order).alias("_o"), normalize(title).alias("_v"), F.col(authors).alias("_a"))
     votes = votes.where(~is_placeholder_title("_v") & ~is_artifact_title("_v") & ~is_prose_title("_v")).withColumn("_k", meta_key("_v"))
     longest = F.max_by("_v", F.struct(F.length("_v"), -F.col("_o")))
-    counted = votes.groupBy(key, "_k").agg(F.count("*").alias("_n"), longest.alias("_v"), F.min("_o").alias("_o"), F.max(F.when(mentions_author(F.col("_v"), F.col("_a")), 1).otherwise(0)).alias("_m"))
+    votes = votes.withColumn("_m", F.when(mentions_author(F.col("_v"), F.col("_a")), 1).otherwise(0))
+    counted = votes.groupBy(key, "_k").agg(F.count("*").alias("_n"), longest.alias("_v"), F.min("_o").alias("_o"), F.max("_m").alias("_m"))
     underscores = F.length("_v") - F.length(F.replace("_v", F.lit("_"), F.lit("")))
     rank = F.struct("_n", -underscores, -F.col("_m"), F.length("_v"), -F.col("_o"))
     return counted.groupBy(key).agg(F.max_by("_v", rank).alias(title))

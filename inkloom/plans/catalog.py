@@ -1,12 +1,20 @@
-"""The catalog's queries over the driver's tables, each with SQL that gives the same rows."""
+"""The catalog's queries over the driver's tables, each with SQL that gives the same rows.
+
+documents play the files of a library (text is the content, source its folder), parts play books (p_name is the title,
+p_brand the author, p_type the series), customers and orders play books and matches, events the dump's JSON rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkloom.functions import dates, identifiers, text, titles
+from inkloom.operators import conflicts, dedup, match, quality, search, tables, votes
+from inkloom.sources import files as formats
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,15 +35,718 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Exact duplicates and canonical files
+
+
 @query(
     "exact_duplicates",
     """SELECT sha256(text) AS content_hash, min(doc_id) AS canonical_id, count(*) AS n_copies
        FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
 )
 def exact_duplicates(spark, sf_dir):
+    groups = dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return groups.select("content_hash", F.col("canonical").alias("canonical_id"), F.size("members").cast("long").alias("n_copies"))
+
+
+@query(
+    "duplicates_of_canonical",
+    """WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents WHERE text IS NOT NULL)
+       SELECT doc_id AS duplicate, canonical FROM h WHERE doc_id <> canonical""",
+)
+def duplicates_of_canonical(spark, sf_dir):
+    return dedup.duplicates_of(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "first_file_of_each_content",
+    "SELECT min(doc_id) AS doc_id, min_by(source, doc_id) AS source, min_by(lang, doc_id) AS lang FROM documents WHERE text IS NOT NULL GROUP BY text",
+)
+def first_file_of_each_content(spark, sf_dir):
+    return dedup.first_of_each(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang")
+
+
+@query(
+    "canonical_path_needed",
+    """WITH f AS (SELECT text, max(doc_id) AS stored, min(doc_id) AS least FROM documents WHERE text IS NOT NULL GROUP BY text)
+       SELECT stored, least FROM f WHERE least < stored""",
+)
+def canonical_path_needed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.groupBy(F.sha2("text", 256)).agg(F.max("doc_id").alias("stored"), F.min("doc_id").alias("least")).where("least < stored").select("stored", "least")
+
+
+# Signatures, bands and books. Few hash functions here, so that SQL can follow; the operator's default is 512.
+
+_N, _R = 20, 5
+_A, _B = dedup.coefficients(_N)
+_SIGNED_SQL = f"""
+first AS (SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text),
+words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents SEMI JOIN first USING (doc_id)) x),
+runs AS (SELECT doc_id, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+shingles AS (SELECT DISTINCT doc_id, concat_ws(' ', w, w1, w2, w3, w4) AS s FROM runs WHERE w4 IS NOT NULL),
+hashed AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT % 2147483647 AS h FROM shingles),
+signed AS MATERIALIZED (SELECT doc_id, [{", ".join(f"min((h * {a} + {b}) % 2147483647)" for a, b in zip(_A, _B))}] AS sig FROM hashed GROUP BY doc_id)"""
+
+
+def _signed(spark, sf_dir):
+    docs = dedup.first_of_each(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup.signatures_sql(dedup.shingled(docs), "doc_id", _N)
+
+
+@query("minhash_signatures", f"WITH {_SIGNED_SQL} SELECT doc_id, array_to_string(sig, ',') AS signature FROM signed")
+def minhash_signatures(spark, sf_dir):
+    return _signed(spark, sf_dir).select("doc_id", F.array_join("signature", ",").alias("signature"))
+
+
+_PAIRS_SQL = f"""{_SIGNED_SQL},
+spread AS (SELECT doc_id, b, sig[b * {_R} + 1 : b * {_R} + {_R}] AS rows FROM signed, range(0, {_N // _R}) t(b)),
+pairs AS (SELECT DISTINCT l.doc_id AS earlier, r.doc_id AS later FROM spread l JOIN spread r ON l.b = r.b AND l.rows = r.rows AND l.doc_id < r.doc_id),
+scored AS MATERIALIZED (SELECT earlier, later, len(list_filter(list_zip(a.sig, c.sig), lambda x: x[1] = x[2])) / {_N}.0 AS similarity
+           FROM pairs JOIN signed a ON a.doc_id = earlier JOIN signed c ON c.doc_id = later)"""
+
+
+@query("lsh_candidate_pairs", f"WITH {_PAIRS_SQL} SELECT earlier, later, round(similarity, 6)::DOUBLE AS similarity FROM scored")
+def lsh_candidate_pairs(spark, sf_dir):
+    pairs = dedup.candidate_pairs(_signed(spark, sf_dir), n=_N // _R, rows=_R)
+    return pairs.select("earlier", "later", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "near_duplicate_books",
+    f"""WITH RECURSIVE {_PAIRS_SQL},
+    parent AS (SELECT later, arg_max(earlier, similarity * 1e9 - earlier) AS up FROM scored WHERE similarity >= 0.75 GROUP BY later),
+    walk AS (SELECT s.doc_id AS file, coalesce(p.up, s.doc_id) AS book FROM signed s LEFT JOIN parent p ON p.later = s.doc_id
+             UNION SELECT w.file, p.up FROM walk w JOIN parent p ON p.later = w.book)
+    SELECT file, min(book) AS book FROM walk GROUP BY file""",
+)
+def near_duplicate_books(spark, sf_dir):
+    return dedup.books(_signed(spark, sf_dir), n=_N // _R, rows=_R)
+
+
+# Text keys and tokens
+
+_KEY = "trim(regexp_replace(replace(replace(replace(strip_accents(lower({0})), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
+
+
+@query(
+    "title_keys",
+    f"""WITH t AS (SELECT doc_id, {_KEY.format("string_split(text, chr(10))[1]")} AS k FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, k AS title_key, array_to_string(list_sort(list_distinct(list_filter(string_split(k, ' '), lambda x: x <> ''))), ' ') AS tokens FROM t""",
+)
+def title_keys(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n")[0].alias("line"))
+    return docs.select("doc_id", text.title_key("line").alias("title_key"), F.array_join(text.title_tokens("line"), " ").alias("tokens"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_PART = ", ".join(f"'{w}'" for w in text.NAME_PARTICLES)
+
+
+@query(
+    "token_sets",
+    f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split({_KEY.format("string_split(text, chr(10))[1]")}, ' '), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, len(list_filter(w, lambda x: x NOT IN ({_STOP})))::INTEGER AS content_tokens, len(list_filter(w, lambda x: length(x) > 2 AND x NOT IN ({_PART})))::INTEGER AS author_tokens FROM t""",
+)
+def token_sets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n")[0].alias("line"))
+    return docs.select("doc_id", F.size(text.content_tokens("line")).alias("content_tokens"), F.size(text.author_tokens("line")).alias("author_tokens"))
+
+
+@query(
+    "title_similarity",
+    """WITH n AS (SELECT DISTINCT p_name, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part),
+    s AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS x, len(b.t) AS y FROM n a JOIN n b ON a.p_name < b.p_name)
+    SELECT a AS title_a, b AS title_b, round(i / (x + y - i)::DOUBLE, 6) AS jaccard, round(least(x, y) / greatest(x, y)::DOUBLE, 6) AS bound FROM s WHERE i > 0""",
+)
+def title_similarity(spark, sf_dir):
+    n = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("t", text.title_tokens("p_name"))
+    a = n.select(F.col("p_name").alias("title_a"), F.col("t").alias("ta"), F.explode("t").alias("w"))
+    b = n.select(F.col("p_name").alias("title_b"), F.col("t").alias("tb"), F.explode("t").alias("w"))
+    pairs = a.join(b, "w").where("title_a < title_b").drop("w").distinct()
+    return pairs.select("title_a", "title_b", F.round(text.jaccard("ta", "tb"), 6).alias("jaccard"), F.round(text.jaccard_bound(F.size("ta"), F.size("tb")), 6).alias("bound"))
+
+
+@query(
+    "benchmark_containment",
+    f"""WITH d AS (SELECT doc_id, list_distinct(string_split({_KEY.format("text")}, ' ')) AS t FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT item_id, list_distinct(list_filter(string_split({_KEY.format("text")}, ' '), lambda x: x <> '' AND x NOT IN ({_STOP}))) AS t FROM benchmark),
+    hits AS (SELECT b.item_id, d.doc_id, round(len(list_intersect(b.t, d.t)) / len(b.t)::DOUBLE, 6) AS hit FROM b, d WHERE len(b.t) > 0)
+    SELECT item_id, max(hit) AS best_hit, count(*) FILTER (WHERE hit >= 0.6) AS n_docs FROM hits GROUP BY item_id""",
+)
+def benchmark_containment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(text.title_tokens("text")).alias("w"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.content_tokens("text").alias("t")).where(F.size("t") > 0)
+    asked = items.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    hits = docs.join(asked, "w").groupBy("item_id", "n", "doc_id").agg(F.round(F.count("*") / F.col("n"), 6).alias("hit"))
+    best = hits.groupBy("item_id").agg(F.max("hit").alias("m"), F.count_if(F.col("hit") >= 0.6).alias("c"))
+    return items.select("item_id").join(best, "item_id", "left").select("item_id", F.coalesce("m", F.lit(0.0)).alias("best_hit"), F.coalesce("c", F.lit(0)).alias("n_docs"))
+
+
+# Quality gates
+
+_TAGS = "(length(replace(replace(s, '<', ''), '>', '')) - length(s)) * -1"
+
+
+@query(
+    "html_pages",
+    f"""WITH t AS (SELECT page_id AS id, substr(trim(lower(html), chr(10) || chr(13) || chr(9) || ' '), 1, 4096) AS s FROM pages UNION ALL SELECT -doc_id - 1, substr(trim(lower(text), chr(10) || chr(13) || chr(9) || ' '), 1, 4096) FROM documents WHERE text IS NOT NULL)
+    SELECT id, (s LIKE '<!doctype%' OR s LIKE '<html%' OR s LIKE '<head%' OR s LIKE '<body%' OR ({_TAGS} > 40 AND {_TAGS} * 100 > length(s))) AS is_html FROM t""",
+)
+def html_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("t"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select((-F.col("doc_id") - 1).alias("id"), F.col("text").alias("t"))
+    return pages.unionByName(docs).select("id", quality.looks_like_html("t").alias("is_html"))
+
+
+@query(
+    "size_and_binary_gate",
+    """SELECT doc_id, CASE WHEN n_chars < 400 THEN 'min_size' WHEN length(regexp_replace(substr(text, 1, 4096), '[^\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F]', '', 'g')) * 100 > length(substr(text, 1, 4096)) THEN 'binary' ELSE 'ok' END AS gate
+       FROM documents WHERE text IS NOT NULL""",
+)
+def size_and_binary_gate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    gate = F.when(quality.below_min_size("n_chars", least=400), "min_size").when(quality.looks_binary("text"), "binary").otherwise("ok")
+    return docs.select("doc_id", gate.alias("gate"))
+
+
+@query(
+    "letters_and_lines",
+    """WITH t AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda l: regexp_replace(l, '\\s+', '', 'g') <> ''))::INTEGER AS n_lines, len(regexp_extract_all(text, '\\p{L}'))::INTEGER AS n_letters FROM documents WHERE text IS NOT NULL)
+       SELECT doc_id, n_lines, n_letters FROM t""",
+)
+def letters_and_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return (
-        docs.groupBy(F.sha2("text", 256).alias("content_hash"))
-        .agg(F.min("doc_id").alias("canonical_id"), F.count("*").alias("n_copies"))
-        .where("n_copies > 1")
-    )
+    return docs.select("doc_id", F.size(quality.lines_of("text")).alias("n_lines"), quality.letters("text").alias("n_letters"))
+
+
+@query("junk_reasons")
+def junk_reasons(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "n_chars")
+    pages = table(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("id"), F.col("html").alias("text"), F.length("html").cast("long").alias("n_chars"))
+    return docs.unionByName(pages).select("id", quality.junk_reason("text", "n_chars").alias("reason"))
+
+
+@query("detected_language")
+def detected_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    found = docs.select("doc_id", F.array("lang").alias("declared"), quality.detect_language("text").alias("d"))
+    return found.select("doc_id", F.col("d.code").alias("code"), F.array_join(dates.reconcile_language("declared", F.col("d.code"), F.col("d.confidence")), ",").alias("languages"))
+
+
+@query("plain_text_of_pages")
+def plain_text_of_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.length(text.plain_text("html")).alias("n_text"))
+
+
+# Votes
+
+
+def _spellings(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.when(F.col("p_partkey") % 3 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("spelling"))
+
+
+@query(
+    "majority_vote",
+    """WITH v AS (SELECT p_name, lower(p_brand) AS k, p_partkey AS o, CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand) ELSE p_brand END AS v FROM part),
+    c AS (SELECT p_name, k, count(*) AS n, min(o) AS o, arg_min(v, o) AS v FROM v GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY n DESC, o) AS r FROM c)
+    SELECT p_name, v AS spelling FROM r WHERE r = 1""",
+)
+def majority_vote(spark, sf_dir):
+    return votes.common_value(_spellings(spark, sf_dir), "p_name", "spelling", "p_partkey")
+
+
+@query(
+    "majority_vote_prefer_longer",
+    """WITH v AS (SELECT p_size, lower(p_name) AS k, p_partkey AS o, p_name AS v FROM part),
+    c AS (SELECT p_size, k, count(*) AS n, min(o) AS o, arg_min(v, o) AS v FROM v GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY n DESC, length(v) DESC, o) AS r FROM c)
+    SELECT p_size, v AS p_name FROM r WHERE r = 1""",
+)
+def majority_vote_prefer_longer(spark, sf_dir):
+    return votes.common_value(table(spark, sf_dir, "part"), "p_size", "p_name", "p_partkey", prefer_longer=True)
+
+
+@query(
+    "title_vote",
+    """WITH c AS (SELECT p_size, lower(p_name) AS k, count(*) AS n, min(p_partkey) AS o, arg_min(p_name, p_partkey) AS v FROM part GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY n DESC, length(v) DESC, o) AS r FROM c)
+    SELECT p_size, v AS p_name FROM r WHERE r = 1""",
+)
+def title_vote(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumn("authors", F.array("p_brand"))
+    return votes.title_vote(rows, "p_size", "p_name", "authors", "p_partkey")
+
+
+@query(
+    "author_list_vote",
+    """WITH v AS (SELECT p_name, p_partkey AS o, least(p_brand, p_type) || chr(31) || greatest(p_brand, p_type) AS k, p_brand AS a, p_type AS b FROM part),
+    c AS (SELECT p_name, k, count(*) AS n, min(o) AS o, arg_min(a || '; ' || b, o) AS v, arg_min(length(a) + length(b), o) AS len,
+                 arg_min((a LIKE '% %')::INT + (b LIKE '% %')::INT, o) AS spaced FROM v GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY n DESC, len DESC, spaced DESC, o) AS r FROM c)
+    SELECT p_name, v AS authors FROM r WHERE r = 1""",
+)
+def author_list_vote(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumn("authors", F.array("p_brand", "p_type"))
+    return votes.author_vote(rows, "p_name", "authors", "p_partkey").select("p_name", F.array_join("authors", "; ").alias("authors"))
+
+
+@query(
+    "series_and_index_vote",
+    """WITH s AS (SELECT p_name, p_type AS k, count(*) AS n, min(p_partkey) AS o FROM part GROUP BY 1, 2),
+    c AS (SELECT p_name, arg_max(k, n * 1000000000 - o) AS series FROM s GROUP BY 1),
+    i AS (SELECT p.p_name, p_size::VARCHAR AS k, count(*) AS n, min(p_partkey) AS o FROM part p JOIN c ON c.p_name = p.p_name AND c.series = p.p_type GROUP BY 1, 2),
+    d AS (SELECT p_name, arg_max(k, n * 1000000000 - o) AS series_index FROM i GROUP BY 1)
+    SELECT c.p_name, c.series, d.series_index FROM c JOIN d USING (p_name)""",
+)
+def series_and_index_vote(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_name", "p_partkey", F.col("p_type").alias("series"), F.col("p_size").cast("string").alias("series_index"))
+    return votes.series_vote(rows, "p_name", "p_partkey")
+
+
+@query(
+    "merged_publications",
+    """SELECT c_mktsegment AS book, o_orderpriority AS publisher, strftime(o_orderdate, '%Y-%m') AS publication_date, count(*) AS n
+       FROM (SELECT DISTINCT c_mktsegment, o_orderpriority, strftime(o_orderdate, '%Y-%m') AS m, date_trunc('month', o_orderdate) AS o_orderdate FROM orders JOIN customer ON c_custkey = o_custkey) x GROUP BY ALL""",
+)
+def merged_publications(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    rows = o.select(F.col("c_mktsegment").alias("book"), "o_orderkey", F.col("o_orderpriority").alias("publisher"), F.date_format("o_orderdate", "yyyy-MM").alias("publication_date"))
+    return votes.publications(rows, "book", "o_orderkey").groupBy("book", "publisher", "publication_date").agg(F.count("*").alias("n"))
+
+
+@query(
+    "ordered_distinct_subjects",
+    """WITH f AS (SELECT p_brand, p_type, min(p_partkey) AS o FROM part GROUP BY 1, 2) SELECT p_brand, string_agg(p_type, '; ' ORDER BY o) AS subjects FROM f GROUP BY 1""",
+)
+def ordered_distinct_subjects(spark, sf_dir):
+    return votes.distinct_values(table(spark, sf_dir, "part"), "p_brand", "p_type", "p_partkey").select("p_brand", F.array_join("p_type", "; ").alias("subjects"))
+
+
+@query(
+    "ordered_distinct_languages",
+    """WITH f AS (SELECT source, lang, min(doc_id) AS o FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2) SELECT source, string_agg(lang, ',' ORDER BY o) AS languages FROM f GROUP BY 1""",
+)
+def ordered_distinct_languages(spark, sf_dir):
+    return votes.distinct_values(table(spark, sf_dir, "documents"), "source", "lang", "doc_id", "language").select("source", F.array_join("lang", ",").alias("languages"))
+
+
+_ISBN_SQL = """
+n AS (SELECT p_partkey AS k, p_name, '978' || lpad(((p_partkey + 1) * 7919 % 1000000000)::VARCHAR, 9, '0') AS core, CASE p_partkey % 3 WHEN 0 THEN 'TEXT' WHEN 1 THEN 'METADATA' ELSE 'METADATA_AND_TEXT' END AS source FROM part),
+isbns AS (SELECT *, core || ((10 - (list_sum(list_transform(range(1, 13), lambda i: substr(core, i, 1)::INT * (CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END))) % 10)) % 10)::INT::VARCHAR AS isbn FROM n)"""
+
+
+def _isbns(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    core = F.lpad(((F.col("p_partkey") + 1) * 7919 % 1000000000).cast("string"), 9, "0")
+    # an ISBN of ten digits with its check digit, which the function turns into thirteen
+    total = sum((F.substring(core, i + 1, 1).cast("int") * (10 - i) for i in range(9)), F.lit(0))
+    check = F.pmod(11 - F.pmod(total, F.lit(11)), F.lit(11))
+    ten = F.concat(core, F.when(check == 10, "X").otherwise(check.cast("string")))
+    source = F.when(F.col("p_partkey") % 3 == 0, "TEXT").when(F.col("p_partkey") % 3 == 1, "METADATA").otherwise("METADATA_AND_TEXT")
+    return part.select("p_partkey", "p_name", ten.alias("ten"), source.alias("source"))
+
+
+@query("isbn_normal_form", f"WITH {_ISBN_SQL} SELECT k AS p_partkey, isbn FROM isbns")
+def isbn_normal_form(spark, sf_dir):
+    return _isbns(spark, sf_dir).select("p_partkey", identifiers.isbn13(F.concat(F.lit("ISBN "), "ten")).alias("isbn"))
+
+
+@query(
+    "merged_isbn_sources",
+    f"""WITH {_ISBN_SQL}, v AS (SELECT p_name, isbn, source, k FROM isbns UNION ALL SELECT p_name, isbn, 'METADATA', k + 1000000000 FROM isbns WHERE k % 2 = 0),
+    m AS (SELECT p_name, isbn, min(k) AS o, CASE WHEN count(DISTINCT source) = 1 THEN min(source) ELSE 'METADATA_AND_TEXT' END AS source FROM v GROUP BY 1, 2)
+    SELECT p_name, count(*) AS n_isbns, string_agg(isbn || ':' || source, ',' ORDER BY o) AS isbns FROM m GROUP BY 1""",
+)
+def merged_isbn_sources(spark, sf_dir):
+    one = _isbns(spark, sf_dir).select("p_name", "p_partkey", F.lit("ISBN-10").alias("scheme"), F.col("ten").alias("value"), "source")
+    two = one.where("p_partkey % 2 = 0").select("p_name", (F.col("p_partkey") + 1000000000).alias("p_partkey"), "scheme", "value", F.lit("METADATA").alias("source"))
+    merged = votes.merged_isbns(one.unionByName(two), "p_name", "p_partkey")
+    return merged.select("p_name", F.size("identifiers").cast("long").alias("n_isbns"), F.array_join(F.transform("identifiers", lambda i: F.concat_ws(":", i["value"], i["source"])), ",").alias("isbns"))
+
+
+# Record linkage: parts as books, the parts of each name and type as editions of a catalog
+
+
+def _books(spark, sf_dir):
+    rows = table(spark, sf_dir, "part")
+    none = F.array().cast("array<struct<scheme:string,value:string,source:string>>")
+    return match.prepare_books(rows.select(F.col("p_partkey").alias("book_id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.array("p_brand").alias("authors"), none.alias("identifiers"), F.split(F.lower("p_name"), " ").alias("head_tokens")))
+
+
+def _editions(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("line_no"))
+    title = F.when(F.col("line_no") % 2 == 0, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.concat_ws(" ", "p_name", F.lit("illustrated")))
+    return match.prepare_editions(rows.select("line_no", F.concat_ws("/", "p_name", "p_brand").alias("edition_key"), title.alias("title"), F.array().cast("array<string>").alias("isbns"), F.concat(F.lit("/works/"), "p_name").alias("work_key"), F.array("p_brand").alias("author_keys")))
+
+
+_LINK_SQL = """
+books AS (SELECT p_partkey AS book_id, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS k FROM part),
+b AS MATERIALIZED (SELECT book_id, k, list_distinct(string_split(k, ' ')) AS t FROM books),
+ed AS (SELECT p_name || '/' || p_brand AS edition_key, min(p_partkey) AS line_no, p_name, p_brand FROM part GROUP BY p_name, p_brand),
+e AS MATERIALIZED (SELECT edition_key, k, list_distinct(string_split(k, ' ')) AS t FROM (SELECT edition_key, trim(regexp_replace(lower(CASE WHEN line_no % 2 = 0 THEN p_name || ' ' || p_brand ELSE p_name || ' illustrated' END), '[^a-z0-9]+', ' ', 'g')) AS k FROM ed) x),
+exact AS (SELECT b.book_id, e.edition_key FROM b JOIN e ON b.k = e.k)"""
+
+
+@query("exact_title_join", f"WITH {_LINK_SQL} SELECT book_id, edition_key FROM exact")
+def exact_title_join(spark, sf_dir):
+    return match.exact_candidates(_books(spark, sf_dir), _editions(spark, sf_dir)).select("book_id", "edition_key")
+
+
+_RARE_SQL = f"""{_LINK_SQL},
+df AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM b) x GROUP BY 1),
+open AS (SELECT * FROM e WHERE edition_key NOT IN (SELECT edition_key FROM exact)),
+ranked AS (SELECT edition_key, token, row_number() OVER (PARTITION BY edition_key ORDER BY n, token) AS r FROM (SELECT edition_key, unnest(t) AS token FROM open) x JOIN df USING (token) WHERE n <= 5000),
+rare AS (SELECT edition_key, token FROM ranked WHERE r <= 2)"""
+
+
+@query("rarest_tokens", f"WITH {_RARE_SQL} SELECT edition_key, token FROM rare")
+def rarest_tokens(spark, sf_dir):
+    b, e = _books(spark, sf_dir), _editions(spark, sf_dir)
+    return match.rarest_tokens(b, e.join(match.exact_candidates(b, e), "edition_key", "left_anti"))
+
+
+@query(
+    "fuzzy_title_join",
+    f"""WITH {_RARE_SQL}, met AS (SELECT DISTINCT b.book_id, r.edition_key FROM rare r JOIN (SELECT book_id, unnest(t) AS token FROM b) b USING (token)),
+    s AS (SELECT m.book_id, m.edition_key, len(list_intersect(b.t, e.t)) AS i, len(b.t) AS x, len(e.t) AS y FROM met m JOIN b USING (book_id) JOIN e USING (edition_key))
+    SELECT book_id, edition_key, round(i / (x + y - i)::DOUBLE, 6) AS title_score FROM s WHERE i / (x + y - i)::DOUBLE >= 0.35""",
+)
+def fuzzy_title_join(spark, sf_dir):
+    b, e = _books(spark, sf_dir), _editions(spark, sf_dir)
+    return match.fuzzy_candidates(b, e, match.exact_candidates(b, e)).select("book_id", "edition_key", F.round("title_score", 6).alias("title_score"))
+
+
+@query(
+    "token_document_frequency",
+    f"WITH {_LINK_SQL} SELECT token, count(*) AS df FROM (SELECT unnest(t) AS token FROM b) x GROUP BY 1",
+)
+def token_document_frequency(spark, sf_dir):
+    return match.token_frequencies(_books(spark, sf_dir))
+
+
+@query(
+    "isbn_join",
+    f"""WITH {_ISBN_SQL}, held AS (SELECT k AS book_id, isbn, source, CASE source WHEN 'METADATA_AND_TEXT' THEN 0 WHEN 'METADATA' THEN 1 ELSE 2 END AS priority FROM isbns)
+    SELECT h.book_id, 'E' || i.k AS edition_key, h.isbn, h.priority::INTEGER AS priority FROM held h JOIN isbns i USING (isbn)""",
+)
+def isbn_join(spark, sf_dir):
+    rows = _isbns(spark, sf_dir)
+    ids = F.array(F.struct(F.lit("ISBN").alias("scheme"), F.col("ten").alias("value"), "source"))
+    b = match.prepare_books(rows.select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array().cast("array<string>").alias("authors"), ids.alias("identifiers"), F.array().cast("array<string>").alias("head_tokens")))
+    e = match.prepare_editions(rows.select(F.col("p_partkey").alias("line_no"), F.concat(F.lit("E"), "p_partkey").alias("edition_key"), F.lit("").alias("title"), F.array("ten").alias("isbns"), F.lit("").alias("work_key"), F.array().cast("array<string>").alias("author_keys")))
+    return match.isbn_candidates(b, e).select("book_id", "edition_key", "isbn", "priority")
+
+
+@query("match_decisions")
+def match_decisions(spark, sf_dir):
+    b, e = _books(spark, sf_dir), _editions(spark, sf_dir)
+    works = e.select("work_key").distinct().select("work_key", F.regexp_replace("work_key", "^/works/", "").alias("title"), F.array().cast("array<string>").alias("author_keys"))
+    authors = table(spark, sf_dir, "part").select(F.col("p_brand").alias("author_key")).distinct().select("author_key", F.array("author_key").alias("names"))
+    found = match.resolve_works(match.candidates(b, e), works)
+    scored = match.content_scores(match.resolve_authors(found, authors, b), b)
+    out = match.classify(b, match.work_groups(scored))
+    return out.select("book_id", "status", "review_reason", F.round("confidence", 6).alias("confidence"), "method", "edition_key", "work_key")
+
+
+# Conflicts
+
+
+@query(
+    "conflict_pairs",
+    f"""WITH {_SIGNED_SQL}, d AS (SELECT doc_id, lang || source AS t FROM documents),
+    p AS (SELECT l.doc_id AS book_id, r.doc_id AS peer_book_id, a.sig AS x, c.sig AS y FROM d l JOIN d r ON l.t = r.t AND l.doc_id < r.doc_id JOIN signed a ON a.doc_id = l.doc_id JOIN signed c ON c.doc_id = r.doc_id),
+    s AS (SELECT book_id, peer_book_id, len(list_filter(list_zip(x, y), lambda z: z[1] = z[2])) / {_N}.0 AS score FROM p)
+    SELECT book_id, peer_book_id, CASE WHEN score < 0.20 THEN 'metadata_content_mismatch' ELSE 'possible_duplicate' END AS reason, round(score, 6)::DOUBLE AS score FROM s WHERE score < 0.75""",
+)
+def conflict_pairs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.concat("lang", "source").alias("title"), F.array().cast("array<string>").alias("authors"), F.lit(0.0).alias("content_score"))
+    pairs = conflicts.conflict_pairs(docs, _signed(spark, sf_dir).withColumnRenamed("doc_id", "book_id"))
+    return pairs.select("book_id", "peer_book_id", "reason", F.round("score", 6).alias("score"))
+
+
+@query(
+    "status_overlay",
+    """WITH pairs AS (SELECT a.p_partkey AS book_id, b.p_partkey AS peer, a.p_size / 50.0 AS ls, b.p_size / 50.0 AS rs FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
+    bad AS (SELECT book_id FROM pairs WHERE NOT (ls >= 0.6 AND rs < 0.6) UNION SELECT peer FROM pairs WHERE NOT (rs >= 0.6 AND ls < 0.6))
+    SELECT p_partkey AS book_id, CASE WHEN p_partkey IN (SELECT book_id FROM bad) THEN 'needs_review' ELSE 'confirmed' END AS status FROM part""",
+)
+def status_overlay(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    same = ["p_name", "p_brand", "p_type"]
+    a = p.select(*same, F.col("p_partkey").alias("book_id"), (F.col("p_size") / 50.0).alias("ls"))
+    b = p.select(*same, F.col("p_partkey").alias("peer_book_id"), (F.col("p_size") / 50.0).alias("rs"))
+    pairs = a.join(b, same).where("book_id < peer_book_id").withColumn("reason", F.lit("metadata_content_mismatch"))
+    return conflicts.overlay_status(p.select(F.col("p_partkey").alias("book_id"), F.lit("confirmed").alias("status")), pairs)
+
+
+# Search
+
+
+@query(
+    "search_title_and_author",
+    """SELECT p_partkey AS book_id FROM part WHERE (contains(lower(p_name), 'ste') AND contains(lower(p_name), 'red')) OR (contains(lower(p_brand), 'ste') AND contains(lower(p_brand), 'red'))""",
+)
+def search_title_and_author(spark, sf_dir):
+    books = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"))
+    return search.search(books, 'ste* AND "RED"').select("book_id")
+
+
+@query("search_author", "SELECT p_partkey AS book_id FROM part WHERE contains(lower(p_brand), 'brand') AND contains(lower(p_brand), '#12')")
+def search_author(spark, sf_dir):
+    books = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array(F.regexp_replace("p_brand", "#", "n")).alias("authors"))
+    return search.search(books, "brand n12", author=True).select("book_id")
+
+
+@query(
+    "trigram_index",
+    """WITH t AS (SELECT p_partkey, lower(p_name) AS s FROM part), g AS (SELECT p_partkey, substr(s, i, 3) AS trigram FROM (SELECT p_partkey, s, unnest(range(1, length(s) - 1)) AS i FROM t) x)
+    SELECT p_partkey, trigram, count(*) AS tf FROM g GROUP BY 1, 2""",
+)
+def trigram_index(spark, sf_dir):
+    return search.trigram_index(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+
+
+# The relational core: files, books, authors, matches and runs as star-schema tables
+
+
+@query("book_counts", "SELECT count(*) AS n_books, count(DISTINCT p_name) AS n_titles, count(DISTINCT p_brand) AS n_authors FROM part")
+def book_counts(spark, sf_dir):
+    return table(spark, sf_dir, "part").agg(F.count("*").alias("n_books"), F.count_distinct("p_name").alias("n_titles"), F.count_distinct("p_brand").alias("n_authors"))
+
+
+@query(
+    "books_with_isbn_count",
+    """SELECT count(DISTINCT k) AS n FROM (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 200000 UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0) u""",
+)
+def books_with_isbn_count(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("k"))
+    b = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
+    return a.union(b).distinct().agg(F.count_distinct("k").alias("n"))
+
+
+@query("status_counts", "SELECT o_orderstatus AS status, count(*) AS books FROM orders GROUP BY 1 ORDER BY 1")
+def status_counts(spark, sf_dir):
+    from inkloom.operators.reports import status_counts as counts
+
+    return counts(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
+
+
+@query(
+    "joined_author_names",
+    "SELECT n_name AS book, string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS authors FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
+)
+def joined_author_names(spark, sf_dir):
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    return n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("book")).agg(F.nullif(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ", "), F.lit("")).alias("authors"))
+
+
+@query(
+    "books_with_files",
+    """SELECT n_name, r_name, count(c_custkey) AS n_files, round(sum(c_acctbal), 2) AS total FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""",
+)
+def books_with_files(spark, sf_dir):
+    n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    j = n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return j.groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("n_files"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query(
+    "first_author_of_target",
+    """SELECT o_orderkey, (SELECT min(c_name) FROM customer WHERE c_custkey = o_custkey) AS first_author FROM orders WHERE o_orderstatus = 'F'""",
+)
+def first_author_of_target(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").groupBy(F.col("c_custkey").alias("o_custkey")).agg(F.min("c_name").alias("first_author"))
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").join(names, "o_custkey", "left").select("o_orderkey", "first_author")
+
+
+@query("orphan_authors", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def orphan_authors(spark, sf_dir):
+    used = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.delete_where_in(table(spark, sf_dir, "customer").select("c_custkey"), used, "c_custkey")
+
+
+@query("authors_in_use", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def authors_in_use(spark, sf_dir):
+    used = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.delete_orphans(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), used, "c_custkey")
+
+
+@query(
+    "pending_books",
+    """SELECT c_custkey AS book_id FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS v, max(o_orderpriority) AS d FROM orders GROUP BY 1) m ON m.o_custkey = c_custkey WHERE m.o_custkey IS NULL OR v <> 'P' OR d <> '5-LOW'""",
+)
+def pending_books(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("book_id")).agg(F.max("o_orderstatus").alias("matcher_version"), F.max("o_orderpriority").alias("dump_version"))
+    return match.pending(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id")), m, "P", "5-LOW")
+
+
+@query(
+    "author_ordinals",
+    "SELECT l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INTEGER AS ordinal FROM lineitem",
+)
+def author_ordinals(spark, sf_dir):
+    return tables.ordinals(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
+
+
+@query(
+    "ranked_works",
+    """WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER w AS rank, lead(o_totalprice) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))
+    SELECT o_custkey, o_orderkey, rank::INTEGER AS rank, rank = 1 AS selected, round(CASE WHEN rank = 1 THEN coalesce(o_totalprice - nxt, 1) END, 2) AS gap FROM r WHERE rank <= 10""",
+)
+def ranked_works(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.row_number().over(w).alias("rank"), F.lead("o_totalprice").over(w).alias("nxt")).where("rank <= 10")
+    gap = F.round(F.when(F.col("rank") == 1, F.coalesce(F.col("o_totalprice") - F.col("nxt"), F.lit(1.0))), 2)
+    return o.select("o_custkey", "o_orderkey", "rank", (F.col("rank") == 1).alias("selected"), gap.alias("gap"))
+
+
+@query(
+    "best_edition_of_work",
+    "SELECT o_custkey, o_orderpriority, arg_max(o_orderkey, o_totalprice) AS best, count(*) AS editions FROM orders GROUP BY 1, 2",
+)
+def best_edition_of_work(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.max_by("o_orderkey", "o_totalprice").alias("best"), F.count("*").alias("editions"))
+
+
+@query(
+    "retired_after_first_strong_hit",
+    """WITH s AS (SELECT o_custkey, min(o_orderkey) AS last_line FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 100000 GROUP BY 1)
+    SELECT o.o_custkey, o.o_orderkey FROM orders o LEFT JOIN s USING (o_custkey) WHERE last_line IS NULL OR o_orderkey <= last_line""",
+)
+def retired_after_first_strong_hit(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("line_no"), F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 100000), 0).otherwise(3).alias("priority"), F.lit(False).alias("untitled"), F.lit(1.0).alias("title_score"))
+    ends = match.retire(o, match.Options())
+    return o.join(ends, "book_id", "left").where("last_line IS NULL OR line_no <= last_line").select(F.col("book_id").alias("o_custkey"), F.col("line_no").alias("o_orderkey"))
+
+
+@query(
+    "candidate_scores",
+    """SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity < 10 THEN 0.6 * l_discount * 10 + 0.3 * l_tax * 10 + 0.1 * 0.5 ELSE 0.7 * (CASE l_linenumber % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.75 ELSE 0.5 END) + 0.3 * (0.6 * l_discount * 10 + 0.3 * l_tax * 10 + 0.1 * 0.5) END, 6) AS score FROM lineitem""",
+)
+def candidate_scores(spark, sf_dir):
+    isbn = F.when(F.col("l_quantity") >= 10, F.lit("x"))
+    score = match.base_score(F.col("l_discount") * 10, F.col("l_tax") * 10, F.lit(0.5), isbn, F.col("l_linenumber") % 4)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(score, 6).alias("score"))
+
+
+@query(
+    "union_minimum_rank",
+    """SELECT k, min(rank) AS rank FROM (SELECT o_custkey AS k, o_totalprice AS rank FROM orders UNION ALL SELECT c_custkey, c_acctbal FROM customer) u GROUP BY 1""",
+)
+def union_minimum_rank(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("rank"))
+    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("rank"))
+    return a.unionByName(b).groupBy("k").agg(F.min("rank").alias("rank"))
+
+
+@query(
+    "top_books_limit",
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey LIMIT 50",
+)
+def top_books_limit(spark, sf_dir):
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
+    return tables.limited(table(spark, sf_dir, "orders").orderBy(rank, F.desc("o_totalprice"), "o_orderkey"), 50).select("o_orderkey", "o_totalprice")
+
+
+@query("latest_run", "SELECT o_orderkey AS run_id, o_orderstatus AS status FROM orders ORDER BY o_orderkey DESC LIMIT 1")
+def latest_run(spark, sf_dir):
+    return tables.latest(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status")))
+
+
+@query(
+    "works_cap",
+    """SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) x WHERE r <= 5""",
+)
+def works_cap(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
+    return table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 5").select("l_orderkey", "l_partkey")
+
+
+@query(
+    "insert_or_ignore",
+    """WITH n AS (SELECT o_custkey AS c_custkey, arg_min(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1) SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT c_custkey, v FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)""",
+)
+def insert_or_ignore(spark, sf_dir):
+    old = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select("c_custkey", F.col("c_mktsegment").alias("v"))
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("v"), "o_orderkey")
+    return tables.insert_ignore(old, new, ["c_custkey"], "o_orderkey")
+
+
+@query(
+    "upsert_matches",
+    """WITH n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1) SELECT k, v FROM n UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT k FROM n)""",
+)
+def upsert_matches(spark, sf_dir):
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    return tables.upsert(old, new, ["k"])
+
+
+@query(
+    "reset_status",
+    """SELECT c_custkey, coalesce((SELECT max(o_orderstatus) FROM orders WHERE o_custkey = c_custkey), 'none') AS status FROM customer""",
+)
+def reset_status(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderstatus").alias("status"))
+    return tables.update_from(table(spark, sf_dir, "customer").select("c_custkey", F.lit("x").alias("status")), m, "c_custkey", "status", "none")
+
+
+@query("unseen_files", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT doc_id FROM documents)")
+def unseen_files(spark, sf_dir):
+    done = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"))
+    return tables.unseen(table(spark, sf_dir, "events").select("event_id"), done, "event_id")
+
+
+@query(
+    "extension_statistics",
+    """WITH t AS (SELECT CASE event_id % 5 WHEN 0 THEN 'epub' WHEN 1 THEN 'fb2' WHEN 2 THEN 'xyz' WHEN 3 THEN '(noext)' END AS ext FROM events WHERE event_id % 5 < 4),
+    c AS (SELECT ext, ext IN ('epub', 'fb2') AS supported, count(*) AS n FROM t GROUP BY 1, 2)
+    SELECT ext, supported, n, round(100.0 * n / sum(n) OVER (PARTITION BY supported), 1)::DOUBLE AS percent FROM c""",
+)
+def extension_statistics(spark, sf_dir):
+    k = F.col("event_id") % 5
+    name = F.when(k == 0, "a.zip!x/B.EPUB").when(k == 1, "c.fb2.zip").when(k == 2, "d.XYZ").when(k == 3, "dir.d/plain").otherwise("e.tar.gz")
+    return formats.extension_counts(table(spark, sf_dir, "events").select(name.alias("path")))
+
+
+@query(
+    "dump_json_fields",
+    """SELECT event_id, coalesce(json_extract_string(props, '$.k')::INTEGER, -1) AS k FROM events""",
+)
+def dump_json_fields(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(-1)).alias("k"))
+
+
+@query(
+    "duplicates_report",
+    """WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS c FROM documents WHERE text IS NOT NULL)
+    SELECT c AS path, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS duplicates FROM h WHERE doc_id <> c GROUP BY 1""",
+)
+def duplicates_report(spark, sf_dir):
+    pairs = dedup.duplicates_of(table(spark, sf_dir, "documents"))
+    return pairs.groupBy(F.col("canonical").alias("path")).agg(F.array_join(F.sort_array(F.collect_list("duplicate")).cast("array<string>"), ",").alias("duplicates")).orderBy("path")
+
+
+@query(
+    "conversation_report",
+    """SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY 1""",
+)
+def conversation_report(spark, sf_dir):
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(turns["role"], ">").alias("roles"))
+
+
+@query(
+    "label_evaluation",
+    """SELECT source, count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) > 1""",
+)
+def label_evaluation(spark, sf_dir):
+    j = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return j.groupBy("source").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic")).where("n > 1")
+
+
+@query("title_plausibility")
+def title_plausibility(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n")[0].alias("line"))
+    return lines.select("doc_id", titles.name_score("line").alias("name_score"), titles.title_score("line").alias("title_score"), titles.is_artifact_title("line").alias("artifact"), titles.is_prose_title("line").alias("prose"), titles.suspicious_signals("line").alias("signals"))
