@@ -59,11 +59,13 @@ def records(rows: DataFrame, kind: str) -> DataFrame:
     JSON can't be read, or whose title or list of ISBNs is of another type, are malformed and left out."""
     schema = SCHEMAS[kind]
     own = rows.where((F.col("type") == kind) & ~F.col("malformed"))
+    v = F.try_parse_json("json")
+    is_kind = lambda field, kinds: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")).rlike(kinds), F.lit(True))
     wrong = F.lit(False)
     for field in ("title", "name"):
-        wrong = wrong | F.coalesce(F.get_json_object("json", f"$.{field}").rlike(r"^\s*[{\[]"), F.lit(False))
+        wrong = wrong | ~is_kind(field, "^(STRING|VOID)$")
     for field in ("isbn_13", "isbn_10"):
-        wrong = wrong | F.coalesce(~F.get_json_object("json", f"$.{field}").rlike(r"^\s*\["), F.lit(False))
+        wrong = wrong | ~is_kind(field, "^(ARRAY<(STRING|VOID)>|VOID)$")
     valid = F.coalesce(F.json_object_keys("json").isNotNull(), F.lit(False))
     typed = own.where(valid & ~wrong).withColumn("r", _typed(F.col("json"), schema))
     key = F.coalesce(F.nullif(F.col("r.key"), F.lit("")), F.col("key"))
