@@ -127,8 +127,12 @@ def presence_bits(batches):
 
 def train(docs: DataFrame, train_rows: int = 3000, train_chars: int = 20_000, landmarks: int = 128) -> Model | None:
     """Model from docs (doc_id, text, lang); rows with nulls there are not learned from, None where none is left."""
-    rows = docs.where(f"doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) <= {int(train_chars)}")
-    some = rows.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").select("text", "lang").limit(train_rows)
+    rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL")
+    order = F.xxhash64(F.lit(7), "doc_id")
+    # a share by hash of about twice the rows wanted, so that no task gathers so many rows from each partition
+    share = min(1.0, 2 * train_rows / max(1, rows.count()))
+    rows = rows.where(F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)).where(f"length(text) <= {int(train_chars)}")
+    some = rows.orderBy(order, "doc_id").select("text", "lang").limit(train_rows)
     got = [r for r in some.mapInArrow(presence_bits, "lang string, bits binary, good boolean").collect() if r["good"]]
     got.sort(key=lambda r: (r["lang"], r["bits"]))
     if not got:
