@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions.identifiers import is_isbn_scheme, isbn13, isbn_priority
 from inkloom.functions.text import author_tokens, containment, content_tokens, jaccard, jaccard_bound, title_key, title_tokens
+from inkloom.session import Scratch
 
 EPSILON = 1e-9
 
@@ -291,12 +292,20 @@ def classify(books: DataFrame, grouped: DataFrame, options: Options = Options())
     )
 
 
+def match_prepared(books: DataFrame, editions: DataFrame, works: DataFrame, authors: DataFrame, options: Options = Options()) -> DataFrame:
+    """From prepared books and editions to one decision for each book. Each step's rows are written and read again: they
+    are used several times, and their expressions are long."""
+    scratch = Scratch(books.sparkSession, "match")
+    b, e = scratch.save(books, "books"), scratch.save(editions, "editions")
+    found = scratch.save(candidates(b, e, options), "candidates")
+    resolved = scratch.save(resolve_authors(resolve_works(found, works, options), authors, b), "resolved")
+    scored = scratch.save(content_scores(resolved, b), "scored")
+    return classify(b, scratch.save(work_groups(scored), "groups"), options)
+
+
 def match(books: DataFrame, editions: DataFrame, works: DataFrame, authors: DataFrame, options: Options = Options()) -> DataFrame:
     """From raw books and landed dump tables to one decision for each book."""
-    b, e = prepare_books(books), prepare_editions(editions)
-    found = resolve_works(candidates(b, e, options), works, options)
-    scored = content_scores(resolve_authors(found, authors, b), b)
-    return classify(b, work_groups(scored), options)
+    return match_prepared(prepare_books(books), prepare_editions(editions), works, authors, options)
 
 
 def pending(books: DataFrame, matches: DataFrame, matcher: str, dump: str) -> DataFrame:

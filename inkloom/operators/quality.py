@@ -122,14 +122,14 @@ FREQUENT = {
 }
 
 
-def detect_language(text, least_letters: int = 40) -> Column:
-    """code and confidence by the share of each language's frequent words; empty and 0 under so many letters."""
-    sample = prose_sample(text)
-    words = F.split(F.lower(sample), r"[^\p{L}]+")
-    known = lambda frequent: F.size(F.filter(words, lambda w: w.isin(frequent)))
-    shares = [F.struct((known(frequent.split()) / F.greatest(F.size(words), F.lit(1))).alias("share"), F.lit(code).alias("code")) for code, frequent in FREQUENT.items()]
-    order = F.sort_array(F.array(*shares), False)
-    best, second = order[0], order[1]
-    confidence = F.when(best["share"] > 0, best["share"] / (best["share"] + second["share"])).otherwise(0.0)
-    enough = letters(sample) >= least_letters
-    return F.struct(F.when(enough & (confidence > 0), best["code"]).otherwise("").alias("code"), F.when(enough, confidence).otherwise(0.0).alias("confidence"))
+def detect_languages(docs: DataFrame, text: str = "text", least_letters: int = 40) -> DataFrame:
+    """Adds code and confidence by the share of each language's frequent words in a sample of the head's prose; empty
+    and 0 under so many letters. The sample and its words are columns of their own, so that they are made once."""
+    sampled = docs.withColumn("_sample", prose_sample(head(text)))
+    words = sampled.withColumn("_words", F.split(F.lower("_sample"), r"[^\p{L}]+"))
+    known = lambda frequent: F.size(F.filter("_words", lambda w: w.isin(frequent)))
+    shares = [F.struct((known(frequent.split()) / F.greatest(F.size("_words"), F.lit(1))).alias("share"), F.lit(code).alias("code")) for code, frequent in FREQUENT.items()]
+    ranked = words.withColumn("_r", F.sort_array(F.array(*shares), False)).withColumn("_enough", letters("_sample") >= least_letters)
+    best, second = F.col("_r")[0], F.col("_r")[1]
+    confidence = F.when(F.col("_enough") & (best["share"] > 0), best["share"] / (best["share"] + second["share"])).otherwise(0.0)
+    return ranked.withColumn("confidence", confidence).withColumn("code", F.when(F.col("confidence") > 0, best["code"]).otherwise("")).drop("_sample", "_words", "_r", "_enough")

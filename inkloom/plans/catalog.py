@@ -228,9 +228,9 @@ def junk_reasons(spark, sf_dir):
 
 @query("detected_language")
 def detected_language(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    found = docs.select("doc_id", F.array("lang").alias("declared"), quality.detect_language("text").alias("d"))
-    return found.select("doc_id", F.col("d.code").alias("code"), F.array_join(dates.reconcile_language("declared", F.col("d.code"), F.col("d.confidence")), ",").alias("languages"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", F.array("lang").alias("declared"))
+    found = quality.detect_languages(docs)
+    return found.select("doc_id", "code", F.array_join(dates.reconcile_language("declared", "code", "confidence"), ",").alias("languages"))
 
 
 @query("plain_text_of_pages")
@@ -443,9 +443,7 @@ def match_decisions(spark, sf_dir):
     b, e = _books(spark, sf_dir), _editions(spark, sf_dir)
     works = e.select("work_key").distinct().select("work_key", F.regexp_replace("work_key", "^/works/", "").alias("title"), F.array().cast("array<string>").alias("author_keys"))
     authors = table(spark, sf_dir, "part").select(F.col("p_brand").alias("author_key")).distinct().select("author_key", F.array("author_key").alias("names"))
-    found = match.resolve_works(match.candidates(b, e), works)
-    scored = match.content_scores(match.resolve_authors(found, authors, b), b)
-    out = match.classify(b, match.work_groups(scored))
+    out = match.match_prepared(b, e, works, authors)
     return out.select("book_id", "status", "review_reason", F.round("confidence", 6).alias("confidence"), "method", "edition_key", "work_key")
 
 
