@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import dates, identifiers, text, titles
 from inkloom.operators import conflicts, dedup, match, quality, search, tables, votes
+from inkloom.session import Scratch
 from inkloom.sources import files as formats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +76,8 @@ def canonical_path_needed(spark, sf_dir):
     return docs.groupBy(F.sha2("text", 256)).agg(F.max("doc_id").alias("stored"), F.min("doc_id").alias("least")).where("least < stored").select("stored", "least")
 
 
-# Signatures, bands and books. Few hash functions here, so that SQL can follow; the operator's default is 512.
+# Signatures, bands and books. Few hash functions here, so that SQL can follow, and so only a check of the operator's
+# steps: these miss near duplicates. The whole job is that of the queries named full_..., further down.
 
 _N, _R = 20, 5
 _A, _B = dedup.coefficients(_N)
@@ -123,6 +125,29 @@ def near_duplicate_books(spark, sf_dir):
     return dedup.books(_signed(spark, sf_dir), n=_N // _R, rows=_R)
 
 
+# The same at the operator's own size, 512 hash functions and 25 bands of 5, without SQL.
+
+
+def _fully_signed(spark, sf_dir):
+    docs = dedup.first_of_each(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return Scratch(spark, "signed").save(dedup.signatures(docs), "signatures")
+
+
+@query("full_minhash_signatures")
+def full_minhash_signatures(spark, sf_dir):
+    return _fully_signed(spark, sf_dir).select("doc_id", F.array_join("signature", ",").alias("signature"))
+
+
+@query("full_lsh_candidate_pairs")
+def full_lsh_candidate_pairs(spark, sf_dir):
+    return dedup.candidate_pairs(_fully_signed(spark, sf_dir)).select("earlier", "later", F.round("similarity", 6).alias("similarity"))
+
+
+@query("full_near_duplicate_books")
+def full_near_duplicate_books(spark, sf_dir):
+    return dedup.books(_fully_signed(spark, sf_dir))
+
+
 # Text keys and tokens
 
 _KEY = "trim(regexp_replace(replace(replace(replace(strip_accents(lower({0})), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
@@ -458,11 +483,20 @@ def match_decisions(spark, sf_dir):
     SELECT book_id, peer_book_id, CASE WHEN score < 0.20 THEN 'metadata_content_mismatch' ELSE 'possible_duplicate' END AS reason, round(score, 6)::DOUBLE AS score FROM s WHERE score < 0.75""",
 )
 def conflict_pairs(spark, sf_dir):
+    return _conflicts(spark, sf_dir, _signed(spark, sf_dir))
+
+
+def _conflicts(spark, sf_dir, signed):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.concat("lang", "source").alias("title"), F.array().cast("array<string>").alias("authors"), F.lit(0.0).alias("content_score"))
-    pairs = conflicts.conflict_pairs(docs, _signed(spark, sf_dir).withColumnRenamed("doc_id", "book_id"))
+    pairs = conflicts.conflict_pairs(docs, signed.withColumnRenamed("doc_id", "book_id"))
     return pairs.select("book_id", "peer_book_id", "reason", F.round("score", 6).alias("score"))
 
 
+@query("full_conflict_pairs")
+def full_conflict_pairs(spark, sf_dir):
+    return _conflicts(spark, sf_dir, _fully_signed(spark, sf_dir))
+
+
 @query(
     "status_overlay",
     """WITH pairs AS (SELECT a.p_partkey AS book_id, b.p_partkey AS peer, a.p_size / 50.0 AS ls, b.p_size / 50.0 AS rs FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
