@@ -16,6 +16,10 @@ from inkloom.session import Scratch
 #: So many sources are broadcast; where there are more, their rates are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 HEX = 13  # 52 bits, as many as a double holds
+#: A count of a higher rate is the sum of several, each of an equal part of the rate, as exp(-rate) would be 0.
+RATE = 700
+#: So many copies of a row are made from one array.
+RUN = 1 << 14
 
 
 def _uniform(*parts):
@@ -23,22 +27,25 @@ def _uniform(*parts):
 
 
 def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, epochs: float = 1.0) -> DataFrame:
-    """source, size (characters), rate, and the distribution function's values below 1 for each source present."""
+    """source, size (characters), rate, parts, and the distribution function's values below 1, at rate / parts, for each
+    source present."""
     known = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else None
     weight = F.coalesce(F.element_at(known, F.coalesce("source", F.lit(""))), F.lit(float(default_weight))) if weights else F.lit(float(default_weight))
     size = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("size"))
     size = size.withColumn("weight", F.when(F.col("size") > 0, weight.cast("double")).otherwise(0.0))
     total = size.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
     rate = F.when((F.col("size") > 0) & (F.col("all_weight") > 0), F.col("weight") / F.col("all_weight") * F.col("all_size") * F.lit(float(epochs)) / F.col("size")).otherwise(0.0)
-    terms = F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
-    start = F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / RATE).cast("int"))
+    each = F.col("rate") / F.col("parts")
+    terms = F.sequence(F.lit(1), F.ceil(each + 12 * F.sqrt(each) + 30).cast("int"))
+    start = F.struct(F.exp(-each).alias("p"), F.array(F.exp(-each)).alias("cdf"))
 
     def step(acc, k):
-        p = acc["p"] * F.col("rate") / k
+        p = acc["p"] * each / k
         return F.struct(p.alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + p)).alias("cdf"))
 
     cdf = F.aggregate(terms, start, step)["cdf"]
-    return size.crossJoin(F.broadcast(total)).withColumn("rate", rate).select("source", "size", "rate", cdf.alias("cdf"))
+    return size.crossJoin(F.broadcast(total)).withColumn("rate", rate).withColumn("parts", parts).select("source", "size", "rate", "parts", cdf.alias("cdf"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, epochs: float = 1.0, seed: int = 17, shuffle: bool = True) -> DataFrame:
@@ -47,17 +54,21 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, defaul
     ``weights`` maps sources to target shares of all characters; a source that isn't in it has ``default_weight``, and a
     source with no characters has no share and no copies. A null source is a source of its own, named '' in ``weights``.
     All rows of one doc_id get the same number; a null doc_id counts as ''. A column copy_no is replaced. An empty table
-    gives an empty one. Rates up to about 700 are exact; above, exp(-rate) is 0, so the rate is refused by an error.
+    gives an empty one. Where a rate is over ``RATE``, the count is the sum of counts of equal parts of the rate, each
+    at a number of its own; a sum of such counts has the distribution of the whole rate.
     """
     docs = docs.drop("copy_no")
-    by = rates(docs, weights or {}, default_weight, epochs).select(F.col("source").alias("_source"), "rate", F.when(F.col("rate") > 700, F.raise_error(F.lit("rate over 700"))).otherwise(F.col("cdf")).alias("_cdf"))
+    by = rates(docs, weights or {}, default_weight, epochs).select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
     by = Scratch(docs.sparkSession, "mixing").save(by, "rates")
     by = F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    u = _uniform(F.lit(str(seed)), key)
-    counted = docs.join(by, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_u", u)
-    counted = counted.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("_n > 0")
-    copies = counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_n")).alias("copy_no"))
+    number = lambda j: F.when(j == 1, _uniform(F.lit(str(seed)), key)).otherwise(_uniform(F.concat_ws("#", F.lit(str(seed)), j), key))
+    us = F.transform(F.sequence(F.lit(1), "_parts"), number)
+    counted = docs.join(by, F.col("source").eqNullSafe(F.col("_source")))
+    n = F.aggregate(us, F.lit(0).cast("long"), lambda s, u: s + F.size(F.filter("_cdf", lambda c: c <= u)))
+    counted = counted.withColumn("_n", n.cast("int")).where("_n > 0")
+    runs = counted.select(*docs.columns, "_n", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {RUN}").cast("int"))).alias("_run"))
+    copies = runs.select(*docs.columns, F.explode(F.sequence(F.col("_run") * RUN + 1, F.least("_n", F.lit(RUN) + F.col("_run") * RUN))).alias("copy_no"))
     if not shuffle:
         return copies
     order = F.xxhash64(F.lit(seed), "doc_id", "copy_no")
