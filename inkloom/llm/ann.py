@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm.vectors import HITS, matrix, ranked, usable
+from inkloom.llm.vectors import HITS, distinct_best, matrix, ranked, usable
 
 RATIO = 1.5
 
@@ -185,15 +185,18 @@ def _compare(dim: int, k: int):
             (qid, q), (rid, r) = read(queries), read(rows)
             order = np.argsort(rid, kind="stable")
             rid, r = rid[order], r[order]
+            # an id counts once among the k best, however many rows it has
+            start = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
             for a in range(0, len(qid), 1024):
                 near = q[a : a + 1024] @ r.T
                 near[qid[a : a + 1024, None] == rid] = -np.inf
-                least = np.partition(near, len(rid) - k, axis=1)[:, -k] if len(rid) > k else np.full(len(near), -np.inf)
+                single = near if len(start) == len(rid) else np.maximum.reduceat(near, start, axis=1)
+                least = np.partition(single, len(start) - k, axis=1)[:, -k] if len(start) > k else np.full(len(near), -np.inf)
                 slack = 1e-9 * np.maximum(1, np.abs(near, where=np.isfinite(near), out=np.zeros_like(near)).max(1))
                 for i, row in enumerate(near):
                     pick = np.flatnonzero((row >= least[i] - slack[i]) & (row > -np.inf))
                     score = (r[pick] * q[a + i]).sum(1)  # in one order of terms, so that equal vectors tie
-                    best = np.lexsort((rid[pick], -score))[:k]
+                    best = distinct_best(rid[pick], score, k)
                     out[0].append(qid[a + i])
                     out[1].append(rid[pick[best]].tobytes())
                     out[2].append(score[best].tobytes())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm.vectors import HITS, matrix, ranked, usable
+from inkloom.llm.vectors import HITS, distinct_best, matrix, ranked, usable
 
 LEVELS = 8
 BROADCAST = 32 << 20
@@ -36,7 +36,13 @@ class Block:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order]
+        if (np.diff(ids[order]) == 0).any():
+            order = np.lexsort((*rows.T[::-1], ids))
+        ids, rows = ids[order], rows[order]
+        # repeated rows count once, and so does an id among the k best, however many rows it has
+        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]).any(1)])
+        self.ids, self.rows = ids[new], rows[new]
+        self.start = np.flatnonzero(np.concatenate([[True], self.ids[1:] != self.ids[:-1]]))
         self.low, self.high = self.rows.min(0), self.rows.max(0)
         self.impact = np.concatenate([self.rows - self.low, self.high - self.rows], axis=1).T
         self.step = max(1, -(-(int(self.impact.max()) + 1) // LEVELS))
@@ -53,7 +59,8 @@ class Block:
         w = weight.astype(kind)
         own = qids[:, None] == self.ids
         n = len(self.ids)
-        k_here = min(k, n)
+        ids_here = len(self.start)
+        k_here = min(k, ids_here)
         seen, part = np.zeros((len(qids), n), kind), np.zeros((len(qids), n), kind)
         total = w.sum(1, keepdims=True)
         alive = np.arange(len(qids))
@@ -65,14 +72,15 @@ class Block:
             if level and level > LEVELS // 2:
                 continue
             low = np.where(own[alive], -1, part)
-            kth = np.partition(low, n - k_here, axis=1)[:, n - k_here, None]
+            low = low if ids_here == n else np.maximum.reduceat(low, self.start, axis=1)
+            kth = np.partition(low, ids_here - k_here, axis=1)[:, ids_here - k_here, None]
             bound = part + (total - seen) * (level * self.step - 1 if level else 0)
             possible = (bound >= kth) & ~own[alive]
             few = possible.sum(1) <= (4 * k if level else n)
             for i in np.flatnonzero(few):
                 pick = np.flatnonzero(possible[i])
                 score = self.rows[pick] @ queries[alive[i]]
-                best = np.lexsort((self.ids[pick], -score))[:k]
+                best = distinct_best(self.ids[pick], score, k)
                 yield qids[alive[i]], self.ids[pick[best]], score[best]
             rest = ~few
             if not rest.any():
@@ -85,8 +93,8 @@ class Block:
         for qid, q in zip(qids, queries.astype(object)):
             pick = np.flatnonzero(self.ids != qid)
             score = np.array([int(s) for s in rows[pick] @ q], dtype=object)
-            best = sorted(range(len(pick)), key=lambda i: (-score[i], self.ids[pick[i]]))[:k]
-            yield qid, self.ids[pick[best]], np.array([score[i] for i in best], dtype=np.int64)
+            best = distinct_best(self.ids[pick], score, k)
+            yield qid, self.ids[pick[best]], score[best].astype(np.int64)
 
 
 def _pack(dim: int, scale: int, block: int):

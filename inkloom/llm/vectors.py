@@ -30,6 +30,13 @@ def matrix(column, dim: int) -> np.ndarray:
     return out
 
 
+def distinct_best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, ties by id; of equal (id, score), one."""
+    order = np.lexsort((ids, -scores))
+    i, s = ids[order], scores[order]
+    return order[np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] != s[:-1])])][:k] if len(order) else order
+
+
 def best_of(k: int, kind: str):
     """For applyInArrow over rows (query_id, ids, scores) of whole queries: rank, vec_id and score of the k best."""
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from inkloom.llm import ann
+from inkloom.llm import ann, topk
 
 VECTORS = "vec_id long, embedding array<double>"
 
@@ -33,3 +33,35 @@ def test_neighbours_of_skewed_norms(spark, norms, whole):
     recall = len(found & best(x)) / len(best(x))
     print("recall", norms, whole, recall)
     assert recall >= (0.95 if whole else 0.9)  # with whole=0 the few long rows have cells too
+
+
+def crowded():
+    """100 rows, of which the best is there 70 times, and another id has 40 rows that differ where queries are 0."""
+    x = directions(100, 8, 3)
+    x[:, 7] = 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, (3 * x[0]).tolist())] * 70
+    return rows + [(2000, [*(2 * x[0][:7]).tolist(), j / 64]) for j in range(40)]
+
+
+def check_crowded(got):
+    by = {}
+    for i, v in crowded():
+        by.setdefault(i, set()).add(tuple(v))
+    for q in range(0, 100, 20):
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [m[0] for m in mine] == list(range(1, 21)) and len({m[1] for m in mine}) == 20
+    return by
+
+
+def test_repeated_rows_take_one_place_each(spark):
+    df = spark.createDataFrame(crowded(), VECTORS).coalesce(1)
+    asked = df.where("vec_id < 100 AND vec_id % 20 = 0")
+    by = check_crowded(near := ann.nearest(df, asked).collect())
+    check_crowded(exact := topk.exact_top_k(df, asked).collect())
+    for q in range(0, 100, 20):
+        (mine,) = by[q]
+        true = sorted(((-sum(a * b for a, b in zip(mine, v)), i) for i, vs in by.items() if i != q for v in list(vs)[:1]))[:20]
+        assert [r["vec_id"] for r in sorted((r for r in near if r["query_id"] == q), key=lambda r: r["rank"])] == [i for _, i in true]
+        whole = lambda v: [int(np.floor(64 * c)) for c in v]
+        true = sorted(((-sum(a * b for a, b in zip(whole(mine), whole(v))), i) for i, vs in by.items() if i != q for v in list(vs)[:1]))[:20]
+        assert [r["vec_id"] for r in sorted((r for r in exact if r["query_id"] == q), key=lambda r: r["rank"])] == [i for _, i in true]
