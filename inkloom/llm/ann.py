@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.vectors import HITS, distinct_best, matrix, ranked, usable
+from inkloom.session import Scratch
 
 RATIO = 1.5
 
@@ -211,7 +212,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
     vectors and queries have vec_id and embedding (other columns are not read). Rows of the query's own vec_id are not
     its neighbours. Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids;
     shorter vectors count as ending with zeros. Ties go to the smaller vec_id, and repeated rows count once. An empty
-    side gives no rows. A range of norms with ``whole`` rows at most is compared whole.
+    side gives no rows. A range of norms with ``whole`` rows at most is compared whole. A
+    query that found fewer than k rows probes all cells, so it ends with k or with all there are.
     """
     spark = vectors.sparkSession
     rows, asked = usable(vectors, False), usable(queries, False)
@@ -228,8 +230,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
     kind = "key long, ids binary, vectors binary"
     left = asked.mapInArrow(_route(hasher, dim, tables, probes, ranges, True), kind)
     right = rows.mapInArrow(_route(hasher, dim, tables, probes, ranges, False), kind)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     hits = left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(_compare(dim, k), HITS)
-    return ranked(hits, k, "<f8", int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
+    out = Scratch(spark, "nearest").save(ranked(hits, k, "<f8", spread), "hits")
+    if all(ranges.whole):
+        return out
+    full = out.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = asked.join(full, "vec_id", "left_anti")
+    if short.isEmpty():
+        return out
+    # all cells of one table hold all rows
+    left = short.mapInArrow(_route(hasher, dim, 1, 2 * hasher.width, ranges, True), kind)
+    right = rows.mapInArrow(_route(hasher, dim, 1, probes, ranges, False), kind)
+    hits = left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(_compare(dim, k), HITS)
+    return out.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(*out.columns).unionByName(ranked(hits, k, "<f8", spread))
 
 
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:

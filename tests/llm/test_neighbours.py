@@ -65,3 +65,11 @@ def test_repeated_rows_take_one_place_each(spark):
         whole = lambda v: [int(np.floor(64 * c)) for c in v]
         true = sorted(((-sum(a * b for a, b in zip(whole(mine), whole(v))), i) for i, vs in by.items() if i != q for v in list(vs)[:1]))[:20]
         assert [r["vec_id"] for r in sorted((r for r in exact if r["query_id"] == q), key=lambda r: r["rank"])] == [i for _, i in true]
+
+
+@pytest.mark.parametrize("n", [15, 40])
+def test_queries_of_small_tables_get_k_rows_or_all(spark, n):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(directions(n, 64))], VECTORS)
+    for whole in (1024, 0):
+        got = ann.nearest(df, df.where("vec_id % 5 = 0"), whole=whole, tables=2, probes=3).collect()
+        assert all(sum(r["query_id"] == q for r in got) == min(20, n - 1) for q in range(0, n, 5))
