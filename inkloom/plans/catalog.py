@@ -122,6 +122,7 @@ def lsh_candidate_pairs(spark, sf_dir):
     SELECT file, min(book) AS book FROM walk GROUP BY file""",
 )
 def near_duplicate_books(spark, sf_dir):
+    # as in its SQL, of signed files only; full_near_duplicate_books has the files of fewer words too
     return dedup.books(_signed(spark, sf_dir), n=_N // _R, rows=_R)
 
 
@@ -145,7 +146,8 @@ def full_lsh_candidate_pairs(spark, sf_dir):
 
 @query("full_near_duplicate_books")
 def full_near_duplicate_books(spark, sf_dir):
-    return dedup.books(_fully_signed(spark, sf_dir))
+    files = dedup.first_of_each(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
+    return dedup.books(_fully_signed(spark, sf_dir), files=files)
 
 
 # Text keys and tokens
