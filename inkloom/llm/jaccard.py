@@ -7,23 +7,30 @@ Method: token-group matrix. Texts become sets of hashed 5-word shingles.
    held by a second class have no link and are left out; what is left is small. This pass shuffles each shingle once,
    in 5 bytes, and a shingle that several classes of a block hold goes out once for the block.
 3. The rest is partitioned into groups of similar sets: sets that agree in a band of minimal hashes meet the least of
-   them, and those that are linked with it by exact count are of one group. A group is cut after ``group_rows`` members.
-4. Each group stores the union of its members' shingles. A set asks the groups of other components with its rarest
-   shingles (the prefix that any linked pair must share); for the groups found, the share of the set that the union
-   covers bounds the similarity with every member. Only groups at or over the threshold are opened, and their members
-   are compared by exact count.
-
-No link between documents of different components is lost; links within a group need not be listed, as the group is
-connected already. So a group of copies of any size costs as many comparisons as it has members.
+   them, and those of at least half its shingles in common, linked or not, are of its group.
+4. Each group stores the union of its members' shingles, in slices. A set asks the groups of other sets with its
+   rarest shingles (the prefix that any linked pair must share); shingles that the same groups hold ask once. For the
+   groups found, the union's overlap with the set bounds the similarity with every member, given the members' sizes.
+   Only groups at or over the threshold are opened: the set visits them.
+5. In a group, each set, home or visitor, is told by its difference from the group's core, the shingles of more than
+   half its members. For sets of n and m shingles that differ from the core in p and q, the pair is linked when
+   7 (p + q - 2 both) <= n + m, where both counts the differences they share. With a = 7 p - n, a pair of a + b <= 0 is
+   linked whatever it shares, and then both are linked with the set of the least a: one link for each set. Any other
+   pair must share (a + b) / 14 of its differences, so it shares one of the rarest, and these are few: sets near the
+   core have almost none to show. What isn't linked with the least makes a group of its own for the next round.
+
+No link between documents of different components is lost; links within a component need not be listed. A group of
+copies of any size costs as many comparisons as it has members.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkloom.llm import words as W
 from inkloom.llm.components import components
@@ -32,6 +39,7 @@ from inkloom.session import Scratch
 #: The threshold 3/4 as a fraction: sets of n and m shingles with i in common are linked when 7 i >= 3 (n + m).
 NUM, DEN = 3, 4
 BROADCAST_ROWS = 500_000
+CLASS_RATIO = 1.2
 
 
 class Shingler:
@@ -226,28 +234,123 @@ def sets_and_bands(k: int, block: int, bands: int, rows: int):
     return run
 
 
-def _linked(i, n, m):
-    return (DEN + NUM) * i >= NUM * (n + m)
-
-
 def _common(a: str, b: str):
     return F.size(F.array_intersect(a, b))
 
 
-def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int = 3, group_rows: int = 64, block: int = 3 << 20, bucket_shingles: int = 1_500_000, class_part: int = 25_000) -> DataFrame:
+def _prefix(rare: str, total, n):
+    """Of an array of (count, mark) in the order of counts, the last of ``total`` members: the marks of those of the
+    first n, each once, and how many members are left from its first place on."""
+    own = total - F.size(rare)
+    shown = F.slice(F.col(rare)["mark"], 1, F.greatest(n - own, F.lit(0)).cast("int"))
+    marked = F.transform(shown, lambda m, i: F.struct(m.alias("mark"), (total - own - i).cast("int").alias("left")))
+    return F.filter(marked, lambda x, i: (i == 0) | (x["mark"] != F.get(shown, i - 1)))
+
+
+def _visits(placed: DataFrame, scratch: Scratch, slice_tokens: int) -> DataFrame:
+    """rid and grp: which groups, beside its own, each set has to be compared with."""
+    cells = placed.select("rid", "n", "grp", F.explode("tokens").alias("token"))
+    held_by = cells.groupBy("grp", "token").agg(F.lit(1).alias("one")).groupBy("token")
+    across = held_by.agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("grp")).alias("mark")).where("df > 1").select("token", "df", F.xxhash64("df", "mark").alias("mark"))
+    rare = cells.join(across, "token").groupBy("rid", "n", "grp").agg(F.sort_array(F.collect_list(F.struct("df", "mark"))).alias("rare"))
+    rare = rare.where(DEN * F.size("rare") >= NUM * F.col("n"))
+    n = F.col("n")
+    asks, kept = (_prefix("rare", n, n - F.ceil(n * part) + 1) for part in (NUM / DEN, 2 * NUM / (NUM + DEN)))
+    rare = scratch.save(rare.select("rid", "n", "grp", asks.alias("asks"), kept.alias("kept")), "rare")
+    asked = rare.select("rid", "n", F.col("grp").alias("home"), F.inline("asks"))
+    columns = rare.select("grp", "n", F.inline("kept")).groupBy("mark", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("left2"))
+    # the larger set asks; from the first mark they share on, either must have enough left
+    fits = f"home <> grp AND least <= n AND {DEN} * most >= {NUM} * n AND {DEN + NUM} * least(left, left2) >= {NUM} * (n + greatest(least, {NUM} * n / {DEN}))"
+    met = asked.join(columns, "mark").where(fits).select("rid", "grp").distinct()
+    met = scratch.save(met, "met")
+
+    facts = placed.join(met.select("grp").distinct(), "grp").groupBy("grp").agg(F.min("n").alias("least"), F.ceil(F.sum("n") / slice_tokens).alias("slices"))
+    spread = placed.join(facts, "grp").select("grp", "least", "slices", F.explode("tokens").alias("token"))
+    unions = spread.groupBy("grp", "least", F.pmod(F.xxhash64("token"), F.col("slices")).alias("slice")).agg(F.collect_set("token").alias("union"))
+    overlap = met.join(placed.select("rid", "n", "tokens"), "rid").join(unions, "grp").select("rid", "grp", "n", "least", _common("tokens", "union").alias("i"))
+    total = overlap.groupBy("rid", "grp", "n", "least").agg(F.sum("i").alias("i"))
+    opened = total.where(f"{DEN} * i >= {NUM} * n AND {DEN + NUM} * i >= {NUM} * (n + least)").select("rid", "grp")
+    return scratch.save(opened, "opened")
+
+
+def _against_core(rows: DataFrame, group_rows: int, small) -> DataFrame:
+    """rows (grp, home, rid, doc_id, n, tokens) of groups of two sets at least, one of them at home, and z, the
+    differences from the group's core, and a."""
+    counts = rows.groupBy("grp").agg(F.count("*").alias("members"), F.count_if("home").alias("homes")).where("members > 1 AND homes > 0")
+    counts = counts.withColumn("salts", F.ceil(F.col("members") / group_rows))
+    facts = small(counts)
+    cells = rows.where("home").join(facts, "grp").select("grp", "homes", F.explode("tokens").alias("token"))
+    core = cells.groupBy("grp", "homes", "token").agg(F.count("*").alias("c")).where("2 * c > homes").groupBy("grp").agg(F.collect_list("token").alias("core"))
+    # a group of very many rows is dealt out, with a copy of its core for each part
+    dealt = counts.join(core, "grp", "left").select("grp", "salts", F.coalesce("core", F.array().cast("array<long>")).alias("core"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    salted = rows.join(facts.select("grp", "salts"), "grp").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts"))).drop("salts")
+    z = F.concat(F.array_except("tokens", "core"), F.array_except("core", "tokens"))
+    out = salted.join(dealt.drop("salts"), ["grp", "salt"]).select("grp", "home", "rid", "doc_id", "n", "tokens", z.alias("z"))
+    return out.withColumn("a", (DEN + NUM) * F.size("z") - F.col("n"))
+
+
+def _within(rows: DataFrame, scratch: Scratch, rounds: int, group_rows: int, few: bool) -> list[DataFrame]:
+    """Links (a, b) of doc_ids that join all linked sets of each group; rows have grp, home, rid, doc_id, n, tokens;
+    few says that one row for each group can be broadcast."""
+    small = F.broadcast if few else lambda df: df
+    links = []
+    for r in range(rounds):
+        zs = scratch.save(_against_core(rows, group_rows, small), "z")
+        least = zs.groupBy("grp").agg(F.min(F.struct("a", "doc_id")).alias("x")).select("grp", F.col("x.a").alias("a0"), F.col("x.doc_id").alias("doc0"))
+        zs = scratch.save(zs.join(small(least), "grp").withColumn("near", F.col("a") + F.col("a0") <= 0), "near")
+        links.append(zs.where("near").select(F.col("doc_id").alias("a"), F.col("doc0").alias("b")))
+        far = zs.where("NOT near")
+        if far.isEmpty():
+            break
+        # what a pair that isn't near must share, by what is known of one side
+        some = zs.join(far.select("grp").distinct(), "grp", "left_semi").where(F.size("z") > 0)
+        cells = some.select("grp", "rid", F.explode("z").alias("token"))
+        held = cells.groupBy("grp", "token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("rid")).alias("mark")).where("df > 1").select("grp", "token", "df", F.xxhash64("df", "mark").alias("mark"))
+        rare = cells.join(held, ["grp", "token"]).groupBy("grp", "rid").agg(F.sort_array(F.collect_list(F.struct("df", "mark"))).alias("rare"))
+        slim = some.select("grp", "rid", "home", "n", "near", F.size("z").alias("p"), "a", "a0").join(rare, ["grp", "rid"])
+        first = lambda x: _prefix("rare", F.col("p"), F.col("p") + 1 - F.ceil(x / (2 * (DEN + NUM))))
+        slim = slim.withColumn("asks", F.when(~F.col("near"), first(F.col("a") + F.col("a0")))).withColumn("kept", first(F.col("a") - F.col("a0") + 1))
+        # sets by their a: what a pair must share follows from either's class, so classes meet with prefixes of their own
+        slim = slim.withColumn("class", F.floor(F.log(F.col("a") - F.col("a0") + 2 * (DEN + NUM)) / math.log(CLASS_RATIO)).cast("int"))
+        slim = scratch.save(slim.drop("rare"), "slim")
+        classes = slim.groupBy("grp", "class").agg(F.min("a").alias("least")).groupBy("grp").agg(F.collect_list(F.struct("class", "least")).alias("classes"))
+        slim = slim.join(classes, "grp")
+        can = F.expr(f"filter(classes, c -> {2 * (DEN + NUM)} * left >= a + c.least)['class']")
+        asked = slim.where("NOT near").select("grp", "rid", "home", "n", "a", F.col("class").alias("of"), "classes", F.inline("asks"))
+        asked = asked.select("grp", "rid", "home", "n", "a", "mark", "left", "of", F.explode(can).alias("to"))
+        # where none is near, or in the last round, those that aren't near meet each other too
+        shown = (slim if r == rounds - 1 else slim.where("near OR a0 > 0")).select("grp", "rid", "home", "n", "a", "near", F.col("class").alias("to"), "classes", F.inline("kept"))
+        shown = shown.select("grp", F.col("rid").alias("other"), F.col("home").alias("home2"), F.col("n").alias("m"), F.col("a").alias("b"), "near", "mark", F.col("left").alias("left2"), "to", F.explode(can).alias("of"))
+        # from the first mark they share on, either must have enough left
+        fits = f"(home OR home2) AND {DEN} * least(n, m) >= {NUM} * greatest(n, m) AND {2 * (DEN + NUM)} * least(left, left2) >= a + b AND (near OR rid < other)"
+        pairs = scratch.save(asked.join(shown, ["grp", "mark", "of", "to"]).where(fits).select("grp", "rid", "other").distinct(), "pairs")
+        one = zs.select("grp", "rid", "doc_id", "n", "z")
+        two = zs.select("grp", F.col("rid").alias("other"), F.col("doc_id").alias("doc2"), F.col("n").alias("m"), F.col("z").alias("z2"))
+        both = pairs.join(one, ["grp", "rid"]).join(two, ["grp", "other"])
+        linked = both.where(f"{DEN + NUM} * (size(z) + size(z2) - 2 * size(array_intersect(z, z2))) <= n + m")
+        links.append(scratch.save(linked.select(F.col("doc_id").alias("a"), F.col("doc2").alias("b")), "linked"))
+        rows = far.where("a0 <= 0").select("grp", "home", "rid", "doc_id", "n", "tokens")
+        if rows.isEmpty():
+            break
+    return links
+
+
+def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int = 3, block: int = 3 << 20, bucket_shingles: int = 1_500_000, class_part: int = 25_000, slice_tokens: int = 20_000, rounds: int = 4, group_rows: int = 2000) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text; other columns are not read).
 
     Words are lower-cased (A-Z); a set is the distinct k-word shingles of the whole text, with fewer words the whole
     sequence. Two documents are linked when their sets' similarity is 3/4 or more; component_id is the smallest doc_id
     that links lead to. A document without words (null, empty or only white space) has n_shingles 0 and is alone, as is
-    a row with a null doc_id, whose component_id is null. Rows with one doc_id are one node. Repeated rows come out as
-    often as they go in; an empty table gives an empty one.
+    a row with a null doc_id, whose component_id is null. Rows with one doc_id are one node, whatever their texts, so
+    that all of them that have words come out with one component_id. Repeated rows come out as often as they go in; an
+    empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.save(docs.mapInArrow(sign(k, block), "doc_id long, n long, fa long, fb long"), "signed")
-    classes = scratch.save(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    named = signed.where("n > 0 AND doc_id IS NOT NULL")
+    classes = scratch.save(named.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
 
     total, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     buckets = int(max(16, total // bucket_shingles))
@@ -258,76 +361,45 @@ def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int
     left = scratch.save(classes.join(shared, "fa").where(DEN * F.col("shared") >= NUM * F.col("n")).select("rep", "n"), "left")
 
     found = left.select(F.col("rep").alias("doc_id")).distinct()
-    found = F.broadcast(found) if left.count() <= BROADCAST_ROWS else found
+    few = left.count() <= BROADCAST_ROWS
+    found = F.broadcast(found) if few else found
     prints = docs.join(found, "doc_id", "left_semi")
     sets = scratch.save(
         prints.mapInArrow(sets_and_bands(k, block, bands, band_rows), "doc_id long, tokens array<long>, bands array<long>")
         .where("size(tokens) > 0")
-        .dropDuplicates(["doc_id", "bands"])
-        .select("doc_id", F.xxhash64("tokens").alias("sid"), F.size("tokens").alias("n"), "tokens", "bands"),
+        .withColumn("rid", F.xxhash64("doc_id", "tokens"))
+        .dropDuplicates(["rid"])
+        .select("rid", "doc_id", F.size("tokens").alias("n"), "tokens", "bands"),
         "sets",
     )
 
-    # groups: the least set of each band leads; who is linked with it by exact count is of its group
-    band = sets.select("doc_id", F.posexplode("bands").alias("b", "key"))
-    lead = band.groupBy("b", "key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = band.join(lead, ["b", "key"]).where("doc_id <> lead").select("doc_id", "lead").distinct()
-    leads = sets.select(F.col("doc_id").alias("lead"), F.col("n").alias("m"), F.col("tokens").alias("other"))
-    star = (
-        pairs.join(sets.select("doc_id", "n", "tokens"), "doc_id")
-        .join(leads, "lead")
-        .where(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)")
-        .where(_linked(_common("tokens", "other"), F.col("n"), F.col("m")))
-        .select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    )
-    star = scratch.save(star, "star")
-    first = scratch.save(components(star, scratch), "first")
-    placed = sets.drop("bands").join(first, F.col("node") == F.col("doc_id"), "left").select("doc_id", "sid", "n", "tokens", F.coalesce("component", "doc_id").alias("comp"))
-    sizes = placed.groupBy("comp").agg(F.count("*").alias("members"))
-    placed = placed.join(sizes, "comp").select("doc_id", "sid", "n", "tokens", "comp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / group_rows)).alias("cut"))
-    placed = scratch.save(placed, "placed")
-
-    # the matrix: shingles of two components at least, their spread, and who holds enough of them to matter
-    cells = placed.select("doc_id", "sid", "n", "comp", "cut", F.explode("tokens").alias("token"))
-    across = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
-    held = cells.join(across, "token").groupBy("doc_id", "sid", "n", "comp", "cut").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))
-    held = held.where(DEN * F.size("rare") >= NUM * F.col("n"))
-    own = F.col("n") - F.size("rare")
-    asks = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - own
-    kept = F.col("n") - F.ceil(F.col("n") * (2 * NUM) / (NUM + DEN)) + 1 - own
-    held = scratch.save(held.select("doc_id", "n", "comp", "cut", F.slice("rare.token", 1, F.greatest(asks, F.lit(0)).cast("int")).alias("asks"), F.slice("rare.token", 1, F.greatest(kept, F.lit(0)).cast("int")).alias("kept")), "held")
-    asked = held.select("doc_id", F.col("comp").alias("from"), F.explode("asks").alias("token"))
-    columns = held.select("comp", "cut", F.explode("kept").alias("token")).distinct()
-    met = asked.join(columns, "token").where("from <> comp").select("doc_id", "comp", "cut").distinct()
-    met = scratch.save(met, "met")
-
-    wanted = met.select("comp", "cut").distinct()
-    unions = placed.join(wanted, ["comp", "cut"], "left_semi").groupBy("comp", "cut").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    queries = placed.select("doc_id", "n", "tokens", F.col("comp").alias("from"))
-    opened = (
-        met.join(queries, "doc_id")
-        .join(unions, ["comp", "cut"])
-        .where(DEN * _common("tokens", "union") >= NUM * F.col("n"))
-        .select("doc_id", "from", "comp", "cut")
-    )
-    opened = scratch.save(opened, "opened")
-    members = placed.select("comp", "cut", F.col("n").alias("m"), F.col("tokens").alias("other"))
-    links = (
-        opened.join(queries.drop("from"), "doc_id")
-        .join(members, ["comp", "cut"])
-        .where(f"m <= n AND {DEN} * m >= {NUM} * n")
-        .where(_linked(_common("tokens", "other"), F.col("n"), F.col("m")))
-        .select(F.col("from").alias("a"), F.col("comp").alias("b"))
-        .distinct()
-    )
-    last = components(links, scratch)
-    renamed = last.select(F.col("node").alias("component"), F.col("component").alias("final"))
-    final = scratch.save(first.join(renamed, "component", "left").select("node", F.coalesce("final", "component").alias("component")).unionByName(last).distinct(), "final")
-    scratch.drop(placed, held, met, opened, sets, star)
-
-    by_class = classes.join(final, F.col("rep") == F.col("node"), "left").select("fa", "fb", F.coalesce("component", "rep").alias("component"))
+    # groups: the least set of each band leads; sets at least half like it, linked or not, are of its group
+    band = sets.select("rid", F.posexplode("bands").alias("b", "key"))
+    lead = band.groupBy("b", "key").agg(F.min("rid").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
+    pairs = band.join(lead, ["b", "key"]).where("rid <> lead").select("rid", "lead").distinct()
+    leads = sets.select(F.col("rid").alias("lead"), F.col("n").alias("m"), F.col("tokens").alias("other"))
+    like = pairs.join(sets.select("rid", "n", "tokens"), "rid").join(leads, "lead").where("2 * least(n, m) >= greatest(n, m)").where(3 * _common("tokens", "other") >= F.col("n") + F.col("m"))
+    like = scratch.save(like.groupBy("rid").agg(F.min("lead").alias("lead")), "like")
+    again = like.select(F.col("rid").alias("lead"), F.col("lead").alias("above"))
+    group = like.join(again, "lead", "left").select("rid", F.coalesce("above", "lead").alias("grp"))
+    placed = scratch.save(sets.drop("bands").join(group, "rid", "left").withColumn("grp", F.coalesce("grp", "rid")), "placed")
+
+    visits = _visits(placed, scratch, slice_tokens)
+    home = placed.select("grp", F.lit(True).alias("home"), "rid", "doc_id", "n", "tokens")
+    visiting = visits.join(placed.drop("grp"), "rid").select("grp", F.lit(False).alias("home"), "rid", "doc_id", "n", "tokens")
+    links = _within(home.unionByName(visiting), scratch, rounds, group_rows, few)
+    # a doc_id with several texts is one node: the classes of its texts belong together
+    several = named.groupBy("doc_id").agg(F.min(F.struct("fa", "fb")).alias("lo"), F.max(F.struct("fa", "fb")).alias("hi")).where("lo <> hi").select("doc_id")
+    links.append(named.join(several, "doc_id").join(classes.drop("n"), ["fa", "fb"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    final = components(every, scratch)
+
+    by_class = scratch.save(classes.join(final, F.col("rep") == F.col("node"), "left").select("fa", "fb", F.coalesce("component", "rep").alias("component")), "by_class")
+    scratch.keep(signed, by_class)
     return (
-        signed.join(by_class.withColumn("some", F.lit(True)), ["fa", "fb"], "left")
+        signed.join(by_class, ["fa", "fb"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
