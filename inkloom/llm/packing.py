@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+from inkloom.session import Scratch
+
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def best_fit(items: list[tuple], capacity: int, by_source: bool = True) -> list[int]:
@@ -81,11 +83,15 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 2000, by_sourc
     ``by_source``, two documents of one source; null sources count as one. Texts without words (null or empty)
     have nothing to place and no row. Repeated rows are copies of one cluster. An empty table gives an empty one.
     """
-    words = F.when(F.length(F.regexp_replace("text", WORD, "")) == F.length("text"), 0).otherwise(F.regexp_count("text", F.lit(WORD)))
-    # equal by default: the same words but for case
-    same = F.xxhash64(F.lower(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))) if cluster is None else cluster
-    items = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_key"), same.cast("long").alias("cluster"), words.cast("long").alias("n"))
-    items = items.where("n > 0").groupBy("doc_id", "source", "text_key", "cluster", "n").agg(F.count("*").cast("int").alias("copies"))
+    # words with one space between; the text is gone over once, and what follows reads saved ids and lengths
+    plain = F.trim(F.regexp_replace("text", SPACES, " "))
+    words = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1)
+    same = F.xxhash64(F.lower("plain")) if cluster is None else F.col("cluster")  # equal by default: the same words but for case
+    given = F.lit(None).cast("long") if cluster is None else cluster.cast("long")
+    read = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_key"), given.alias("cluster"), plain.alias("plain"))
+    items = read.select("doc_id", "source", "text_key", same.alias("cluster"), words.cast("long").alias("n"))
+    items = items.groupBy("doc_id", "source", "text_key", "cluster", "n").agg(F.count("*").cast("int").alias("copies"))
+    items = Scratch(docs.sparkSession, "packing").save(items, "items").where("n > 0")
     count = items.agg(F.sum("copies")).first()[0] or 0
     shards = max(1, -(-count // shard_docs))
     items = items.select("doc_id", "source", "text_key", "cluster", "n", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
