@@ -37,8 +37,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked documents, the one of the smallest doc_id; of repeated rows, one."""
     near = jaccard.ngram_components(docs)
     first = near.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    whole = docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return whole.select(*COLUMNS)
+    stays = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").withColumn("_key", F.xxhash64("text"))
+    # rows of one doc_id are one document: of different texts the one of the least hash stays, whatever is retried
+    least = F.min_by(F.struct(*COLUMNS), F.struct("_key", "n_chars", "lang", "source")).alias("row")
+    return docs.where("doc_id IS NULL").select(*COLUMNS).unionByName(stays.groupBy("doc_id").agg(least).select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +50,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece: its place in a training sequence of CAPACITY words, its document and its words."""
-    placed = Scratch(spark, "packing").save(packing.pack(docs, CAPACITY, cluster=F.xxhash64("doc_id", "text")), "placed")
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "source", "lang", "text").dropDuplicates(["id", "key"])
-    joined = placed.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
-    words = F.regexp_extract_all("text", F.lit(packing.WORD), 0)
-    piece = F.when((F.col("start") == 0) & (F.col("words") < CAPACITY), F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("start") + 1).cast("int"), F.col("words").cast("int")), " "))
-    return joined.select("shard", "bin", "slot", "offset", "doc_id", "copy", "start", "words", "source", "lang", piece.alias("text"))
+    scratch = Scratch(spark, "packing")
+    placed = scratch.save(packing.pack(docs, CAPACITY, cluster=F.xxhash64("doc_id", "text")), "placed")
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "source", "lang", "text").dropDuplicates(["id", "key"])
+    # all places of a copy meet its text once; only a text of several pieces is split, and that once
+    place = F.struct("shard", "bin", "slot", "offset", "start", "words")
+    held = placed.groupBy("doc_id", "text_key", "copy").agg(F.collect_list(place).alias("places"))
+    joined = texts.join(held, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    cut = F.exists("places", lambda p: p["start"] > 0) | F.exists("places", lambda p: p["words"] == CAPACITY)
+    words = F.when(cut, F.split(F.trim(F.regexp_replace("text", packing.SPACES, " ")), " "))
+    joined = joined.select("doc_id", "copy", "source", "lang", "text", "places", words.alias("all"))
+    piece = lambda p: F.when(F.size("all") > p["words"], F.array_join(F.slice("all", (p["start"] + 1).cast("int"), p["words"].cast("int")), " ")).otherwise(F.col("text"))
+    made = F.transform("places", lambda p: F.struct(p["shard"].alias("shard"), p["bin"].alias("bin"), p["slot"].alias("slot"), p["offset"].alias("offset"), p["start"].alias("start"), p["words"].alias("words"), piece(p).alias("piece")))
+    out = joined.select("doc_id", "copy", "source", "lang", F.inline(made))
+    return out.select("shard", "bin", "slot", "offset", "doc_id", "copy", "start", "words", "source", "lang", F.col("piece").alias("text"))
 
 
 STAGES = [
