@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkloom.llm.names import fresh
+
+SALTS = 8
+
 
 def remove_repeated_lines(docs: DataFrame, window: int = 3) -> DataFrame:
-    """Documents without the lines of repeated windows; other columns stay as they are.
+    """Documents without the lines of repeated windows; other columns stay as they are, whatever their names.
 
     docs has doc_id and text. The result's text is the lines kept, joined by line feeds; n_lines and n_removed count
     lines before and lines removed, and replace columns of these names. Windows are judged on the input. A text of fewer
@@ -24,30 +28,33 @@ def remove_repeated_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     so repeated rows don't remove each other; rows of one doc_id and different texts take their order from the text's
     hash. An empty table gives an empty one.
     """
-    own = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed", "_key", "_gone")]
-    docs = docs.select(*[f.name for f in own]).withColumn("_key", F.xxhash64("text"))
+    own = [f for f in docs.schema.fields if f.name.lower() not in ("n_lines", "n_removed")]
+    key, gone, parts = fresh([f.name for f in own], "key", "gone", "lines")
+    docs = docs.select(*[f.name for f in own]).withColumn(key, F.xxhash64("text"))
     lines = F.split("text", "\n", -1)
     long = docs.where("doc_id IS NOT NULL").where(F.length("text") - F.length(F.replace("text", F.lit("\n"))) >= window - 1)
-    held = long.select("doc_id", "_key", lines.alias("l"))
+    held = long.select("doc_id", F.col(key).alias("key"), lines.alias("l"))
     joined = F.transform(
         F.sequence(F.lit(1), F.size("l") - (window - 1)),
         lambda i: F.struct(i.alias("at"), F.concat_ws("\n", *[F.get("l", i + j) for j in range(-1, window - 1)]).alias("w")),
     )
     # outer, since a filter on the array's size would be pushed below the lines and split the text again for each line
-    windows = held.select("doc_id", "_key", F.inline_outer(joined)).where("at IS NOT NULL").select("doc_id", "_key", "at", F.xxhash64("w").alias("ha"), F.xxhash64(F.lit(1), F.reverse("w"), F.length("w")).alias("hb"))
-    place = F.struct("doc_id", "_key", "at")
+    windows = held.select("doc_id", "key", F.inline_outer(joined)).where("at IS NOT NULL").select("doc_id", "key", "at", F.xxhash64("w").alias("ha"), F.xxhash64(F.lit(1), F.reverse("w"), F.length("w")).alias("hb"))
+    place = F.struct("doc_id", "key", "at")
     first = windows.groupBy("ha", "hb").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("ha", "hb", "first")
-    again = windows.join(first, ["ha", "hb"]).where(place > F.col("first"))
-    gone = again.groupBy("doc_id", "_key").agg(F.collect_set("at").alias("_gone"))
-    out = docs.join(gone, ["doc_id", "_key"], "left").withColumn("_l", lines)
-    covered = F.array_distinct(F.flatten(F.transform("_gone", lambda a: F.sequence(a, a + (window - 1)))))
-    out = out.withColumn("_gone", F.coalesce(covered, F.array().cast(T.ArrayType(T.IntegerType()))))
-    keep = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_l")), "_gone"), lambda i: F.element_at("_l", i))
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(keep, "\n"))
+    # a window of very many places is dealt into SALTS parts, each with its own copy of the one row of the first place
+    salted = first.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    again = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["ha", "hb", "salt"]).where(place > F.col("first"))
+    later = again.groupBy("doc_id", F.col("key").alias(key)).agg(F.collect_set("at").alias(gone))
+    out = docs.join(later, ["doc_id", key], "left").withColumn(parts, lines)
+    covered = F.array_distinct(F.flatten(F.transform(gone, lambda a: F.sequence(a, a + (window - 1)))))
+    out = out.withColumn(gone, F.coalesce(covered, F.array().cast(T.ArrayType(T.IntegerType()))))
+    keep = F.transform(F.array_except(F.sequence(F.lit(1), F.size(parts)), gone), lambda i: F.element_at(parts, i))
+    text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(keep, "\n"))
     return out.select(
         *[text.alias("text") if f.name == "text" else F.col(f.name) for f in own],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_l")).cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_removed"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_removed"),
     )
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkloom.llm.names import fresh
 from inkloom.session import Scratch
 
 #: So many sources are broadcast; where there are more, their rates are joined by a shuffle.
@@ -53,26 +54,28 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, defaul
 
     ``weights`` maps sources to target shares of all characters; a source that isn't in it has ``default_weight``, and a
     source with no characters has no share and no copies. A null source is a source of its own, named '' in ``weights``.
-    All rows of one doc_id get the same number; a null doc_id counts as ''. A column copy_no is replaced. An empty table
-    gives an empty one. Where a rate is over ``RATE``, the count is the sum of counts of equal parts of the rate, each
+    All rows of one doc_id get the same number; a row with a null doc_id takes its number from its text. A null
+    or empty text has no characters, counts as a row like any other and has the copies of its source's rate. A column
+    copy_no is replaced, others stay, whatever their names. An empty table gives an empty one. Where a rate is over ``RATE``, the count is the sum of counts of equal parts of the rate, each
     at a number of its own; a sum of such counts has the distribution of the whole rate.
     """
-    docs = docs.drop("copy_no")
-    by = rates(docs, weights or {}, default_weight, epochs).select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
+    docs = docs.select(*[c for c in docs.columns if c.lower() != "copy_no"])
+    name, parts, cdf, n, run, order = fresh(docs.columns, "source", "parts", "cdf", "n", "run", "order")
+    by = rates(docs.select("source", "text"), weights or {}, default_weight, epochs).select(F.col("source").alias(name), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     by = Scratch(docs.sparkSession, "mixing").save(by, "rates")
     by = F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce("text", F.lit("")))))
     number = lambda j: F.when(j == 1, _uniform(F.lit(str(seed)), key)).otherwise(_uniform(F.concat_ws("#", F.lit(str(seed)), j), key))
-    us = F.transform(F.sequence(F.lit(1), "_parts"), number)
-    counted = docs.join(by, F.col("source").eqNullSafe(F.col("_source")))
-    n = F.aggregate(us, F.lit(0).cast("long"), lambda s, u: s + F.size(F.filter("_cdf", lambda c: c <= u)))
-    counted = counted.withColumn("_n", n.cast("int")).where("_n > 0")
-    runs = counted.select(*docs.columns, "_n", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {RUN}").cast("int"))).alias("_run"))
-    copies = runs.select(*docs.columns, F.explode(F.sequence(F.col("_run") * RUN + 1, F.least("_n", F.lit(RUN) + F.col("_run") * RUN))).alias("copy_no"))
+    us = F.transform(F.sequence(F.lit(1), parts), number)
+    counted = docs.join(by, F.col("source").eqNullSafe(F.col(name)))
+    count = F.aggregate(us, F.lit(0).cast("long"), lambda s, u: s + F.size(F.filter(cdf, lambda c: c <= u)))
+    counted = counted.withColumn(n, count.cast("int")).where(F.col(n) > 0)
+    runs = counted.select(*docs.columns, n, F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / RUN).cast("int"))).alias(run))
+    copies = runs.select(*docs.columns, F.explode(F.sequence(F.col(run) * RUN + 1, F.least(n, F.lit(RUN) + F.col(run) * RUN))).alias("copy_no"))
     if not shuffle:
         return copies
-    order = F.xxhash64(F.lit(seed), "doc_id", "copy_no")
-    return copies.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order", "doc_id", "copy_no").drop("_order")
+    place = F.xxhash64(F.lit(seed), key, "copy_no")
+    return copies.withColumn(order, place).repartition(order).sortWithinPartitions(order, "doc_id", "copy_no").drop(order)
 
 
 #: The query's targets: the source of a third of the corpus is to be a tenth as much of the mix as four others together.
@@ -84,7 +87,7 @@ w AS (SELECT source, size, CASE WHEN size = 0 THEN 0.0 WHEN source = 'src0' THEN
 r AS (SELECT source, CASE WHEN size > 0 THEN weight / (SELECT sum(weight) FROM w) * (SELECT sum(size) FROM w)::DOUBLE / size ELSE 0.0 END AS rate FROM w),
 c AS (WITH RECURSIVE t AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM r
       UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM t WHERE k < 60) SELECT source, list(cdf) AS cdf FROM t GROUP BY source),
-n AS (SELECT d.doc_id, d.source, d.text, len(list_filter(c.cdf, lambda x: x <= ('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0)) AS n
+n AS (SELECT d.doc_id, d.source, d.text, len(list_filter(c.cdf, lambda x: x <= ('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '#' || md5(coalesce(d.text, '')))), 1, 13))::BIGINT / 4503599627370496.0)) AS n
       FROM documents d JOIN c ON c.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, source, unnest(range(1, n + 1))::INTEGER AS copy_no, sha256(text) AS text_sha256 FROM n WHERE n > 0
 """

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkloom.llm import words as W
+from inkloom.llm.names import fresh
 
 SLICE = 20  # bits of a cell's number within its slice
 ROWS = 2
@@ -215,12 +216,12 @@ def answer_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(runs["doc"][keep]), "tkey": pa.array(runs["text"][keep]), "at": pa.array(runs["at"][keep]), "mask": pa.array(found[keep].astype(np.int64))})
 
 
-def drop_words(width: int):
+def drop_words(width: int, cuts_name: str):
     def drop(batches):
         for batch in batches:
             names = batch.schema.names
             n_words, n_removed, kept = [], [], []
-            for text, cuts in zip(batch.column(names.index("text")), batch.column(names.index("_cuts"))):
+            for text, cuts in zip(batch.column(names.index("text")), batch.column(names.index(cuts_name))):
                 raw = text.as_buffer() if text.is_valid else None
                 words = bytes(raw).split() if raw is not None else []
                 gone = np.zeros(len(words) + 1, np.int64)
@@ -236,7 +237,7 @@ def drop_words(width: int):
                 n_words.append(len(words))
                 n_removed.append(int(removed.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, removed.tolist()) if not g) if n_removed[-1] else b" ".join(words))
-            rest = [(n, batch.column(k)) for k, n in enumerate(names) if n not in ("text", "_cuts", "n_words", "n_removed")]
+            rest = [(n, batch.column(k)) for k, n in enumerate(names) if n not in ("text", cuts_name)]
             yield pa.record_batch(
                 [c for _, c in rest] + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
                 names=[n for n, _ in rest] + ["text", "n_words", "n_removed"],
@@ -248,25 +249,27 @@ def drop_words(width: int):
 def remove_repeats(docs: DataFrame, width: int = 50, sketch_bits: int = 26, block: int = 4 << 20, bucket_words: int = 2_000_000) -> DataFrame:
     """Documents without the words that windows of ``width`` words share with a smaller document.
 
-    docs has doc_id and text; other columns stay as they are. Windows are judged on the input. The result's text is the
+    docs has doc_id and text; other columns stay as they are, whatever their names. Windows are judged on the input. The result's text is the
     words kept, joined by one space; n_words and n_removed count all words and those removed, and replace columns of
     these names. A null text has no words and becomes empty. Rows of one doc_id are one document and don't remove each
     other's words; with a null doc_id, a row neither loses words nor makes others lose any. An empty table gives an
     empty one. ``width`` is 2 to 62. ``sketch_bits`` sets the sketch's size: two rows of 2**sketch_bits bits reach each worker.
     """
     spark = docs.sparkSession
-    keyed = docs.select(*[c for c in docs.columns if c not in ("tkey", "_cuts", "n_words", "n_removed")]).withColumn("tkey", F.xxhash64("text"))
-    slim = keyed.select("doc_id", "text", "tkey")
+    own = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
+    key, runs = fresh(own, "key", "cuts")
+    keyed = docs.select(*own).withColumn(key, F.xxhash64("text"))
+    slim = keyed.select("doc_id", "text", F.col(key).alias("tkey"))
     sketch = spark.sparkContext.broadcast(count_sketch(slim, width, sketch_bits, block))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, size // (6 * bucket_words)))
     asked = slim.mapInArrow(ask_partition(width, sketch_bits, block, buckets, sketch), ASKED)
     hits = asked.groupBy("bucket").applyInArrow(answer_bucket, "doc_id long, tkey long, at int, mask long")
-    cuts = hits.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "mask")).alias("_cuts"))
-    joined = keyed.join(cuts, ["doc_id", "tkey"], "left").select(*[c for c in keyed.columns if c != "tkey"], "_cuts")
-    rest = [f for f in joined.schema.fields if f.name not in ("text", "_cuts")]
+    cuts = hits.groupBy("doc_id", F.col("tkey").alias(key)).agg(F.collect_list(F.struct("at", "mask")).alias(runs))
+    joined = keyed.join(cuts, ["doc_id", key], "left").select(*own, runs)
+    rest = [f for f in joined.schema.fields if f.name not in ("text", runs)]
     schema = T.StructType([*rest, T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(drop_words(width), schema)
+    return joined.mapInArrow(drop_words(width, runs), schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
