@@ -5,25 +5,29 @@ own numbers; n-grams are hashed to ``2**BITS`` cells. Nyström: texts are compar
 regression in the landmarks' space is fitted for each language against the rest. A batch of texts is scored by two
 matrix products: presence by landmarks, and the kernel values by the classifiers.
 
-Fitting takes a bounded sample of labelled rows (``train_rows``, of texts of ``train_chars`` characters at most); every
-text is scored in whole.
+Fitting takes a bounded sample of labelled rows (``train_rows`` in all and ``least_rows`` of each language at least, of
+which ``train_chars`` characters are learned from); every text is scored in whole, in pieces of bounded size.
 """
 
 from __future__ import annotations
 
+import codecs
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.llm import words as W
+from inkloom.session import Scratch
 
 BITS = 14
 ORDERS = 4
 BLOCK = 1 << 20
 ROWS = 64
+PIECE = 1 << 18
+BROADCAST_LANGS = 10_000
 
 
 class Presence:
@@ -40,8 +44,12 @@ class Presence:
         x = np.zeros((len(off) - 1, 1 << BITS), bool)
         if not len(data):
             return x
-        flat, c = x.reshape(-1), self.table[data]
-        row = np.repeat(np.arange(len(off) - 1, dtype=np.int64), np.diff(off))
+        for at in range(0, len(data), PIECE):  # pieces overlap by as much as an n-gram may reach into the next
+            to = min(len(data), at + PIECE + ORDERS - 1)
+            self._piece(x.reshape(-1), self.table[data[at:to]], np.searchsorted(off, np.arange(at, to), "right") - 1)
+        return x
+
+    def _piece(self, flat: np.ndarray, c: np.ndarray, row: np.ndarray) -> None:
         code = np.zeros(len(c), np.uint64)
         for n in range(1, ORDERS + 1):
             m = len(c) - n + 1
@@ -51,17 +59,24 @@ class Presence:
             cell = ((code + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
             whole = row[:m] == row[n - 1 :]
             flat[((row[:m] << BITS) + cell.astype(np.int64))[whole]] = True
-        return x
 
 
 def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Whether each text has a letter of any script."""
-    ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-    total = np.concatenate([[0], np.cumsum(ascii_letter)])
-    out = total[off[1:]] > total[off[:-1]]
-    for i in np.flatnonzero(~out & (np.diff(off) > 0)).tolist():
-        out[i] = any(ch.isalpha() for ch in data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"))
-    return out
+    return np.array([_letter(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], bool)
+
+
+def _letter(text: np.ndarray) -> bool:
+    read = codecs.getincrementaldecoder("utf-8")("replace")
+    for at in range(0, len(text), PIECE):
+        part = text[at : at + PIECE]
+        low = part[:256] | 32
+        if ((low >= 97) & (low <= 122)).any():  # as nearly always
+            return True
+        low = part | 32
+        if ((low >= 97) & (low <= 122)).any() or any(map(str.isalpha, read.decode(part.tobytes()))):
+            return True
+    return False
 
 
 def batches_of(data: np.ndarray, off: np.ndarray):
@@ -125,14 +140,21 @@ def presence_bits(batches):
             yield pa.record_batch([part.column(part.schema.get_field_index("lang")), pa.array(bits, pa.binary()), pa.array(good)], names=["lang", "bits", "good"])
 
 
-def train(docs: DataFrame, train_rows: int = 3000, train_chars: int = 20_000, landmarks: int = 128) -> Model | None:
-    """Model from docs (doc_id, text, lang); rows with nulls there are not learned from, None where none is left."""
-    rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL")
+def train(docs: DataFrame, train_rows: int = 3000, train_chars: int = 20_000, landmarks: int = 128, least_rows: int = 20) -> Model | None:
+    """Model from docs (doc_id, text, lang); rows with nulls there are not learned from, None where none is left. Each
+    language has an equal share of ``train_rows``, ``least_rows`` at least, so a rare one is learned as well; of a
+    language with fewer rows all are taken, and the rest of its share goes to nobody."""
+    rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    counts = Scratch(docs.sparkSession, "languages").save(rows.groupBy("lang").agg(F.count("*").alias("n")), "counts")
+    n_langs = counts.count()
+    counts = F.broadcast(counts) if n_langs <= BROADCAST_LANGS else counts
+    share = max(least_rows, train_rows // max(1, n_langs))
     order = F.xxhash64(F.lit(7), "doc_id")
-    # a share by hash of about twice the rows wanted, so that no task gathers so many rows from each partition
-    share = min(1.0, 2 * train_rows / max(1, rows.count()))
-    rows = rows.where(F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)).where(f"length(text) <= {int(train_chars)}")
-    some = rows.orderBy(order, "doc_id").select("text", "lang").limit(train_rows)
+    # by hash about twice the rows wanted of each language, so that no task ranks all rows of one
+    some = rows.join(counts, "lang").where(F.pmod(order, F.lit(1 << 20)) * F.col("n") < F.lit(2 * share * (1 << 20)))
+    some = some.select("lang", "doc_id", F.substring("text", 1, train_chars).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text")))
+    some = some.withColumn("rank", rank).where(F.col("rank") <= share).select("text", "lang")
     got = [r for r in some.mapInArrow(presence_bits, "lang string, bits binary, good boolean").collect() if r["good"]]
     got.sort(key=lambda r: (r["lang"], r["bits"]))
     if not got:
