@@ -189,7 +189,10 @@ def _compare(dim: int, k: int):
             # an id counts once among the k best, however many rows it has
             start = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
             for a in range(0, len(qid), 1024):
-                near = q[a : a + 1024] @ r.T
+                with np.errstate(over="ignore", invalid="ignore"):  # named below, as an error
+                    near = q[a : a + 1024] @ r.T
+                if np.isnan(near).any() or np.isinf(near).any():
+                    raise OverflowError("an inner product doesn't fit a double")
                 near[qid[a : a + 1024, None] == rid] = -np.inf
                 single = near if len(start) == len(rid) else np.maximum.reduceat(near, start, axis=1)
                 least = np.partition(single, len(start) - k, axis=1)[:, -k] if len(start) > k else np.full(len(near), -np.inf)
@@ -212,7 +215,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
     vectors and queries have vec_id and embedding (other columns are not read). Rows of the query's own vec_id are not
     its neighbours. Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids;
     shorter vectors count as ending with zeros. Ties go to the smaller vec_id, and repeated rows count once. An empty
-    side gives no rows. A range of norms with ``whole`` rows at most is compared whole. A
+    side gives no rows. An inner product that a double can't hold is an error. A range of norms with ``whole`` rows at most is compared whole. A
     query that found fewer than k rows probes all cells, so it ends with k or with all there are.
     """
     spark = vectors.sparkSession

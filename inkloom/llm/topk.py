@@ -2,13 +2,14 @@
 
 Components are whole numbers. A block of rows is indexed by term: each dimension makes two, one whose impact is the
 component above the block's least and one whose impact is what it is below the block's largest; a query weighs one of
-them by the size of its own component, so all contributions are 0 or more. A term's postings are cut into segments by
-quantised impact. Segments are processed from the highest impact down, for all queries of a block together: a sum of
-what is seen bounds each row's score from below, and what is unseen is bounded from above by the next impact. Work on
-a query stops only when no row but the ones that are still possible can be among its k best; these are scored exactly.
+them by the size of its own component, so all contributions are 0 or more. A term's postings (row and impact, none where
+the impact is 0) are cut into segments by quantised impact. Segments are processed from the highest impact down, for
+some queries of a block together: a sum of what is seen bounds each row's score from below, and what is unseen is
+bounded from above by the next impact. Work on a query stops only when no row but the ones that are still possible can
+be among its k best; these are scored exactly.
 
 The query set meets all rows in blocks: query blocks are broadcast where they take ``BROADCAST`` bytes at most, else
-both sides are dealt out by query block and row block.
+query blocks are copied to DEALS parts of the rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from inkloom.llm.vectors import HITS, distinct_best, matrix, ranked, usable
 
 LEVELS = 8
 BROADCAST = 32 << 20
+DEALS = 64
+TOGETHER = 128
 
 
 def quantise(x: np.ndarray, scale: int) -> np.ndarray:
@@ -43,52 +46,68 @@ class Block:
         new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]).any(1)])
         self.ids, self.rows = ids[new], rows[new]
         self.start = np.flatnonzero(np.concatenate([[True], self.ids[1:] != self.ids[:-1]]))
-        self.low, self.high = self.rows.min(0), self.rows.max(0)
-        self.impact = np.concatenate([self.rows - self.low, self.high - self.rows], axis=1).T
-        self.step = max(1, -(-(int(self.impact.max()) + 1) // LEVELS))
-        self.level = self.impact // self.step
+        low, high = self.rows.min(0), self.rows.max(0)
+        impact = np.concatenate([self.rows - low, high - self.rows], axis=1)
+        self.terms, self.most, self.largest = impact.shape[1], int(impact.max()), float(np.abs(self.rows).max())
+        self.step = max(1, -(-(self.most + 1) // LEVELS))
+        # postings (row, impact) of each level and term, from the highest level; impact 0 adds nothing and isn't held
+        row, term = np.nonzero(impact)
+        impact = impact[row, term]
+        segment = (LEVELS - 1 - impact // self.step) * self.terms + term
+        order = np.argsort(segment, kind="stable")
+        self.post_row, self.post_impact = row[order].astype(np.int32), impact[order]
+        self.ends = np.searchsorted(segment[order], np.arange(LEVELS * self.terms + 1))
 
     def search(self, qids: np.ndarray, queries: np.ndarray, k: int):
         """For each query, ids and scores of its k best rows."""
+        for a in range(0, len(qids), TOGETHER):  # sums of so many fit a processor's cache
+            yield from self._search(qids[a : a + TOGETHER], queries[a : a + TOGETHER], k)
+
+    def _search(self, qids, queries, k):
         weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
-        most = float(weight.sum(1).max(initial=0)) * (float(self.impact.max()) + 1)
-        if most >= 2**53:
+        size = weight.astype(float).sum(1).max(initial=0)
+        if size * (float(self.most) + 1) >= 2**53 or size * self.largest >= 2**62:
             yield from self._plain(qids, queries, k)
             return
-        kind = np.float32 if most < 2**24 else np.float64  # either holds all sums exactly
-        w = weight.astype(kind)
-        own = qids[:, None] == self.ids
+        kind = np.float32 if size * (float(self.most) + 1) < 2**24 else np.float64  # either holds all sums exactly
+        w = np.ascontiguousarray(weight.T.astype(kind))
+        own = self.ids[:, None] == qids
         n = len(self.ids)
         ids_here = len(self.start)
         k_here = min(k, ids_here)
-        seen, part = np.zeros((len(qids), n), kind), np.zeros((len(qids), n), kind)
-        total = w.sum(1, keepdims=True)
+        # for each row and query: what it has of the score, and the weight of the terms that it has it from
+        part, seen = np.zeros((n, len(qids)), kind), np.zeros((n, len(qids)), kind)
+        total = w.sum(0)
         alive = np.arange(len(qids))
         for level in range(LEVELS - 1, -1, -1):
-            mask = self.level == level
-            if mask.any():
-                part += w @ np.where(mask, self.impact, 0).astype(kind)
-                seen += w @ mask.astype(kind)
-            if level and level > LEVELS // 2:
+            for term in range(self.terms):
+                s = (LEVELS - 1 - level) * self.terms + term
+                a, b = self.ends[s], self.ends[s + 1]
+                if a < b and w[term].any():
+                    rows = self.post_row[a:b]  # each once
+                    part[rows] += self.post_impact[a:b, None].astype(kind) * w[term]
+                    seen[rows] += w[term]
+            if level > LEVELS // 2:
                 continue
-            low = np.where(own[alive], -1, part)
-            low = low if ids_here == n else np.maximum.reduceat(low, self.start, axis=1)
-            kth = np.partition(low, ids_here - k_here, axis=1)[:, ids_here - k_here, None]
+            low = np.where(own[:, alive], -1, part)
+            low = low if ids_here == n else np.maximum.reduceat(low, self.start, axis=0)
+            kth = np.partition(low, ids_here - k_here, axis=0)[ids_here - k_here]
             bound = part + (total - seen) * (level * self.step - 1 if level else 0)
-            possible = (bound >= kth) & ~own[alive]
-            few = possible.sum(1) <= (4 * k if level else n)
+            possible = (bound >= kth) & ~own[:, alive]
+            few = possible.sum(0) <= (4 * k if level else n)
             for i in np.flatnonzero(few):
-                pick = np.flatnonzero(possible[i])
+                pick = np.flatnonzero(possible[:, i])
                 score = self.rows[pick] @ queries[alive[i]]
                 best = distinct_best(self.ids[pick], score, k)
                 yield qids[alive[i]], self.ids[pick[best]], score[best]
             rest = ~few
             if not rest.any():
                 return
-            alive, w, total, part, seen = alive[rest], w[rest], total[rest], part[rest], seen[rest]
+            alive, total = alive[rest], total[rest]
+            w, part, seen = (np.ascontiguousarray(x[:, rest]) for x in (w, part, seen))
 
     def _plain(self, qids, queries, k):
-        """Sums too large for floating point: whole numbers of any size."""
+        """Sums too large for floating point or a long: whole numbers of any size; an error where a score found is."""
         rows = self.rows.astype(object)
         for qid, q in zip(qids, queries.astype(object)):
             pick = np.flatnonzero(self.ids != qid)
@@ -145,7 +164,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
     vectors and queries have vec_id and embedding (other columns are not read). Rows of the query's own vec_id don't
     count. Vectors that are null or hold null or non-finite components take no part, nor do null ids; zero vectors do,
     and shorter vectors count as ending with zeros. Ties go to the smaller vec_id, and repeated rows count once. An
-    empty side gives no rows; a score that a long can't hold is an error.
+    empty side gives no rows; a score among the k best that a long can't hold is an error.
     """
     spark = vectors.sparkSession
     rows, asked = usable(vectors, True), usable(queries, True)
@@ -155,13 +174,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
     parts = max(1, -(-n // query_block))
     group = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
     asks = asked.withColumn("part", group).groupBy("part").applyInArrow(lambda t: _ask(t, dim, scale), "part long, qids binary, queries binary")
-    packs = packs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    if n * dim * 8 <= BROADCAST:
-        met = packs.join(F.broadcast(asks), "part")
-    else:
-        deal = 64
-        packs = packs.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(deal)))
-        met = packs.join(asks.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long")))), ["part", "deal"])
+    # each block of rows meets all query blocks one after the other, so it is indexed once
+    small = n * dim * 8 <= BROADCAST
+    deals = 1 if small else DEALS
+    packs = packs.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(deals)))
+    asks = asks.withColumn("deal", F.pmod(F.xxhash64("qids"), F.lit(1))) if small else asks.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))))
+    met = packs.join(F.broadcast(asks) if small else asks.hint("merge"), "deal")
     hits = met.select("ids", "rows", "qids", "queries").mapInArrow(_meet(dim, k), HITS)
     return ranked(hits, k, "<i8", int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
 
