@@ -7,7 +7,8 @@ the sentences that then score high are the ones that make a document toxic. A wo
 among others by ``least_z`` standard errors are left out.
 
 Fitting takes a bounded sample of labelled rows (``per_class`` of each label, texts of ``train_chars`` characters at
-most), whose words reach the driver as numbers. Scoring is one pass over all texts in whole, in NumPy.
+most). Features are chosen by counts of documents first, and only the chosen ones of each sentence reach the driver.
+Scoring is one pass over all texts in whole, in NumPy; long texts are read in pieces that end with a sentence.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm import words as W
+from inkloom.session import Scratch
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8, 9)
 BLOCK = 4 << 20
+PIECE = 1 << 20
 
 
 class Sentences:
@@ -52,55 +55,95 @@ class Sentences:
         return feature, new, doc[new], starts[new], ends[last] if len(h) else new, off, data
 
 
-def features(batches):
+    def pieces(self, column):
+        """The same for parts of a column that are small enough, with the byte of the text where the part starts: a long
+        text, which is alone in its column, is cut behind marks; a sentence is never cut."""
+        data, off = W.string_parts(column)
+        if len(column) != 1 or len(data) <= PIECE:
+            yield 0, self.read(column)
+            return
+        at = 0
+        while at < len(data):
+            to = min(at + PIECE, len(data))
+            while to < len(data):
+                (marks,) = np.nonzero(self.mark[data[to : to + 65536]])
+                if len(marks):
+                    to += int(marks[0]) + 1
+                    break
+                to = min(to + 65536, len(data))
+            yield at, self.read(pa.array([data[at:to].tobytes()], pa.binary()))
+            at = to
+
+
+def document_counts(batches):
+    """How many documents of either label hold each feature; feature -1 stands for any word."""
     reader = Sentences()
+    held = np.zeros((2, (1 << BITS) + 1), np.int64)
     for batch in batches:
         for part in W.slices(batch, "text", BLOCK):
             feature, new, doc, *_ = reader.read(part.column(part.schema.get_field_index("text")))
-            lens = np.diff(np.append(new, len(feature))).astype(np.int32)
-            cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            bounds = np.append(new, len(feature))
-            yield pa.record_batch(
-                [
-                    part.column(part.schema.get_field_index("toxic")),
-                    pa.array([feature[bounds[a] : bounds[b]].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                    pa.array([lens[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                ],
-                names=["toxic", "feature", "lens"],
-            )
-
-
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float, rounds: int = 300, rate: float = 0.08, l2: float = 2e-5, least_docs: int = 4, least_z: float = 3.5) -> np.ndarray:
-    """Weights (2**BITS and the bias) from bags (label, features by word, sentence lengths in words); share is that of
-    toxic rows among all that could be learned from, which the sample need not keep."""
+            cut = np.searchsorted(np.repeat(doc, np.diff(np.append(new, len(feature)))), np.arange(part.num_rows + 1))
+            for label, a, b in zip(part.column(part.schema.get_field_index("toxic")).to_pylist(), cut[:-1], cut[1:]):
+                held[label][np.unique(feature[a:b])] += 1
+                held[label][-1] += b > a
+    (some,) = np.nonzero(held.sum(0))
+    yield pa.record_batch({"feature": pa.array(np.where(some == 1 << BITS, -1, some), pa.int32()), "n0": pa.array(held[0][some]), "n1": pa.array(held[1][some])})
+
+
+def choose(counts: list[tuple[int, int, int]], least_docs: int = 4, least_z: float = 3.5) -> np.ndarray:
+    """The features (sorted) that tell the labels apart, from rows (feature, documents of label 0, of label 1)."""
+    held = np.array(sorted(counts), np.int64).reshape(-1, 3)
+    if not len(held) or held[0, 0] != -1 or not held[0, 1:].all():
+        return np.zeros(0, np.int64)
+    n, held = held[0, 1:].astype(float), held[1:]
+    p = held[:, 1:].sum(1) / n.sum()
+    z = (held[:, 2] / n[1] - held[:, 1] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
+    return held[(np.abs(z) >= least_z) & (held[:, 1:].sum(1) >= least_docs) & (held[:, 0] > 0), 0]
+
+
+def chosen_features(known: np.ndarray):
+    """Of each document: its number of sentences, and (sentence, number of a known feature) for each word's features."""
+
+    def run(batches):
+        reader, index = Sentences(), np.full(1 << BITS, -1, np.int32)
+        index[known] = np.arange(len(known), dtype=np.int32)
+        for batch in batches:
+            for part in W.slices(batch, "text", BLOCK):
+                feature, new, doc, *_ = reader.read(part.column(part.schema.get_field_index("text")))
+                lens = np.diff(np.append(new, len(feature)))
+                first = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                sentence = np.repeat(np.arange(len(new)) - first[doc], lens)
+                word = index[feature]
+                row, _ = np.nonzero(word >= 0)
+                pairs = np.stack([sentence[row], word[word >= 0]], axis=1).astype(np.int32)
+                cut = np.searchsorted(np.repeat(doc, lens)[row], np.arange(part.num_rows + 1))
+                yield pa.record_batch(
+                    [part.column(part.schema.get_field_index("toxic")), pa.array(np.diff(first).astype(np.int32)), pa.array([pairs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
+                    names=["toxic", "sentences", "pairs"],
+                )
+
+    return run
+
+
+def fit(bags: list[tuple[int, int, np.ndarray]], known: np.ndarray, share: float, rounds: int = 300, rate: float = 0.08, l2: float = 2e-5) -> np.ndarray:
+    """Weights (2**BITS and the bias) from bags (label, number of sentences, rows of sentence and number of a known
+    feature); share is that of toxic rows among all that could be learned from, which the sample need not keep."""
     out = np.zeros((1 << BITS) + 1, np.float32)
     out[-1] = -20.0
-    bags = [b for b in bags if len(b[1])]
+    bags = [b for b in bags if b[1]]
     y = np.array([b[0] for b in bags], float)
     if not len(bags) or y.min() == y.max():
         return out
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
-    held = np.zeros((2, 1 << BITS))
-    for label, feature, _ in bags:
-        held[label][np.unique(feature)] += 1
-    n = np.array([[len(y) - y.sum()], [y.sum()]])
-    p = held.sum(0) / len(y)
-    z = (held[1] / n[1] - held[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
-    fits = (np.abs(z) >= least_z) & (held.sum(0) >= least_docs)
-    fits[0] = False
-    known = np.flatnonzero(fits)
-    index = np.full(1 << BITS, -1)
-    index[known] = np.arange(len(known))
-    lens = np.concatenate([b[2] for b in bags])
-    word = index[np.concatenate([b[1] for b in bags])]
-    sentence, column = np.repeat(np.arange(len(lens)), lens), np.nonzero(word >= 0)
-    sentence, word = sentence[column[0]], word[column]
-    first = np.cumsum([0] + [len(b[2]) for b in bags[:-1]])
-    bag = np.repeat(np.arange(len(bags)), [len(b[2]) for b in bags])
+    n_sentences = np.array([b[1] for b in bags])
+    first = np.cumsum(n_sentences) - n_sentences
+    bag = np.repeat(np.arange(len(bags)), n_sentences)
+    sentence = np.concatenate([b[2][:, 0] + f for b, f in zip(bags, first)])
+    word = np.concatenate([b[2][:, 1] for b in bags])
     w, bias = np.zeros(len(known)), -6.0
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for t in range(1, rounds + 1):
-        logit = np.bincount(sentence, w[word], len(lens)) + bias
+        logit = np.bincount(sentence, w[word], len(bag)) + bias
         total = np.add.reduceat(np.logaddexp(0, logit), first)
         miss = np.exp(-total)
         d = weight * ((1 - y) - y * miss / np.maximum(1 - miss, 1e-9))
@@ -113,18 +156,20 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float, rounds: in
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, train_chars: int = 40_000) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, train_chars: int = 40_000, least_docs: int = 4, least_z: float = 3.5) -> np.ndarray:
     """Weights from documents (doc_id, text) and labels (doc_id, toxic); rows with nulls there are not learned from."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic")
     n = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(5), "doc_id")
     some = [labels.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     text = docs.where((F.length("text") <= train_chars) & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    rows = text.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("toxic", "text")
-    got = rows.mapInArrow(features, "toxic int, feature binary, lens binary").collect()
-    got.sort(key=lambda r: (r["toxic"], r["feature"], r["lens"]))  # sums in the same order after any retry
-    bags = [(r["toxic"], np.frombuffer(r["feature"], np.int32).reshape(-1, 1 + len(PREFIXES)), np.frombuffer(r["lens"], np.int32)) for r in got]
-    return fit(bags, n.get(1, 0) / max(1, sum(n.values())))
+    rows = Scratch(docs.sparkSession, "toxicity").save(text.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("toxic", "text"), "sample")
+    counts = rows.mapInArrow(document_counts, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    known = choose([tuple(r) for r in counts.where(f"feature = -1 OR n0 + n1 >= {int(least_docs)}").collect()], least_docs, least_z)
+    got = rows.mapInArrow(chosen_features(known), "toxic int, sentences int, pairs binary").collect()
+    got.sort(key=lambda r: (r["toxic"], r["sentences"], r["pairs"]))  # sums in the same order after any retry
+    bags = [(r["toxic"], r["sentences"], np.frombuffer(r["pairs"], np.int32).reshape(-1, 2).astype(np.int64)) for r in got]
+    return fit(bags, known, n.get(1, 0) / max(1, sum(n.values())))
 
 
 def score_partition(model, named: float):
@@ -133,12 +178,13 @@ def score_partition(model, named: float):
         for batch in batches:
             for part in W.slices(batch, "text", BLOCK):
                 k = part.schema.get_field_index("text")
-                feature, new, doc, a, b, off, data = reader.read(part.column(k))
-                z = (np.add.reduceat(weights[feature].sum(1, dtype=np.float64), new) if len(new) else np.zeros(0)) + weights[-1]
-                total = np.bincount(doc, np.logaddexp(0, z), part.num_rows)
+                total = np.zeros(part.num_rows)
                 found: list[list] = [[] for _ in range(part.num_rows)]
-                for i in np.flatnonzero(z >= np.log(named / (1 - named))).tolist():
-                    found[doc[i]].append({"start": int(a[i] - off[doc[i]]), "sentence": data[a[i] : b[i]].tobytes().decode("utf-8", "replace"), "score": float(1 / (1 + np.exp(-z[i])))})
+                for base, (feature, new, doc, a, b, off, data) in reader.pieces(part.column(k)):
+                    z = (np.add.reduceat(weights[feature].sum(1, dtype=np.float64), new) if len(new) else np.zeros(0)) + weights[-1]
+                    total += np.bincount(doc, np.logaddexp(0, z), part.num_rows)
+                    for i in np.flatnonzero(z >= np.log(named / (1 - named))).tolist():
+                        found[doc[i]].append({"start": base + int(a[i] - off[doc[i]]), "sentence": data[a[i] : b[i]].tobytes().decode("utf-8", "replace"), "score": float(1 / (1 + np.exp(-z[i])))})
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("sentence", pa.string()), ("score", pa.float64())]))
                 rest = [c for n, c in zip(part.schema.names, part.columns) if n != "text"]
                 yield pa.record_batch([*rest, pa.array(1 - np.exp(-total)), pa.array(found, kind)], names=[n for n in part.schema.names if n != "text"] + ["score", "offending"])
