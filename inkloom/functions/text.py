@@ -18,10 +18,11 @@ LEFTOVERS = {"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d"
 # Particles of personal names that say nothing about the person.
 NAME_PARTICLES = ["van", "von", "del", "dos", "das", "der", "den", "ter", "ten"]
 # Words too frequent to tell one title from another.
-STOP_WORDS = (
-    "a an and are as at be but by for from has he her his if in into is it its no not of on or over so than that the then these this those to was were will with "
-    "de la le les el los las un una und der die das des dem den et en du au aux sur"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "he", "her", "his", "if", "in", "into", "is", "it", "its", "no", "not", "of", "on", "or", "over",
+    "so", "than", "that", "the", "then", "these", "this", "those", "to", "was", "were", "will", "with", "de", "la", "le", "les", "el", "los", "las", "un", "una", "und", "der",
+    "die", "das", "des", "dem", "den", "et", "en", "du", "au", "aux", "sur",
+]
 
 
 def col(c) -> Column:

@@ -8,6 +8,7 @@ import io
 import tarfile
 import unicodedata
 import zipfile
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +24,8 @@ DOCUMENTS = {
 ARCHIVES = {".zip": "zip", ".tar": "tar", ".tgz": "tgz", ".gz": "gz", ".bz2": "bz2", ".tbz2": "tbz2", ".rar": "rar", ".7z": "7z"}
 COMPOUND = {".tar.gz": "tgz", ".tar.bz2": "tbz2", ".fb2.zip": "fb2"}
 NO_EXTENSION = "(noext)"
-#: Code pages that names of old zip members are tried in.
-CODE_PAGES = ["cp437", "cp852", "cp866", "cp1250", "cp1251"]
+# Code pages that names of old zip members are tried in.
+CODE_PAGES = ["cp437", "cp850", "cp852", "cp1250", "cp1252"]
 
 
 def format_of_name(name: str) -> str | None:
@@ -81,19 +82,32 @@ def decode_member_name(raw: bytes) -> str:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
         pass
+    return max((raw.decode(page, "replace") for page in CODE_PAGES), key=_name_quality)
 
-    def quality(name: str) -> tuple:
-        kinds = [unicodedata.category(c) for c in name if ord(c) > 127]
-        scripts = {unicodedata.name(c, "?").split(" ")[0] for c in name if ord(c) > 127 and unicodedata.category(c)[0] == "L"}
-        return (sum(k[0] == "L" for k in kinds) - 3 * sum(k[0] in "CS" for k in kinds), -len(scripts), sum(k == "Ll" for k in kinds))
-
-    names = []
-    for page in CODE_PAGES:
-        try:
-            names.append(raw.decode(page))
-        except UnicodeDecodeError:
-            continue
-    return max(names, key=quality) if names else raw.decode("latin-1")
+
+# What a character of a kind adds to a name's quality.
+NAME_WEIGHTS = {"letter": 3, "letter of another script": -6, "digit": 2, "space": 1, "punctuation": 1, "symbol": -4, "control": -20, "unreadable": -20, "other": -4}
+
+
+def _name_quality(name: str) -> int:
+    """High where a name is of letters of one script, digits and punctuation."""
+    kind = {"N": "other", "Z": "space", "P": "punctuation", "S": "symbol"}
+    scripts = Counter(unicodedata.name(c, "?").split(" ")[0] for c in name if unicodedata.category(c)[0] == "L")
+    main = max(scripts, key=scripts.get, default="")
+
+    def of(c: str) -> str:
+        general = unicodedata.category(c)
+        if c == "\ufffd":
+            return "unreadable"
+        if general[0] == "L":
+            return "letter" if unicodedata.name(c, "?").split(" ")[0] == main else "letter of another script"
+        if general == "Nd":
+            return "digit"
+        if c.isspace():
+            return "space"
+        return "control" if general == "Cc" else kind.get(general[0], "other")
+
+    return sum(NAME_WEIGHTS[of(c)] for c in name)
 
 
 def unpack(path: str, fmt: str, data: bytes, depth: int, most: int):

@@ -86,3 +86,32 @@ def test_signature_forms_agree(spark):
     slow = {r["doc_id"]: r["signature"] for r in dedup.signatures_sql(dedup.shingled(files), "doc_id", 20).collect()}
     fast = {r["doc_id"]: r["signature"] for r in dedup.signatures(files, n=20).collect()}
     assert slow == fast and slow[1] == slow[3] and 2 not in slow
+
+
+def test_member_names_of_old_archives():
+    from inkloom.sources import files
+
+    assert files.CODE_PAGES == ["cp437", "cp850", "cp852", "cp1250", "cp1252"]
+    for name, page in (("Café déjà.txt", "cp437"), ("Jókai Mór – Az arany ember.txt", "cp1250"), ("plain (1).txt", "ascii"), ("Größe.txt", "utf-8")):
+        assert files.decode_member_name(name.encode(page)) == name
+
+
+def test_word_lists_of_titles(spark):
+    """Each article, particle and chapter word, and words that aren't."""
+    from pyspark.sql import functions as F
+
+    from inkloom.functions import titles
+
+    def of(f, values):
+        rows = spark.createDataFrame([(v,) for v in values], "v string")
+        return {r["v"]: r["x"] for r in rows.select("v", f("v").alias("x")).collect()}
+
+    assert not any(v for v in of(titles.is_chapter_heading, ["Introduction", "Preface", "Contents", "Resz", "Kotet", "The river", "Mottos"]).values())
+    assert all(of(titles.is_chapter_heading, ["Prolog", "Epilog here", "Impresszum", "Ajánlás", "The motto", "Függelék", "Jegyzetek", "Epilógus", "A prológus", "3.", "XI"]).values())
+    scores = of(titles.name_score, ["Egy Kis", "Ein Mann", "Eine Frau", "Un Homme", "Une Femme", "Una Casa", "Gli Amici", "I Malavoglia"])
+    assert set(scores.values()) == {-10}
+    particles = of(titles.name_score, [f"Jan {p} Berg" for p in titles.PARTICLES] + ["Jan da Berg", "Jan y Berg"])
+    assert {particles[f"Jan {p} Berg"] for p in titles.PARTICLES} == {4} and particles["Jan da Berg"] == particles["Jan y Berg"] == 1
+    led = of(titles.is_credit, ["The press", "Egy press", "Una press", "Big press", "The old press house"])
+    assert led == {"The press": False, "Egy press": False, "Una press": False, "Big press": True, "The old press house": True}
+    assert F is not None
