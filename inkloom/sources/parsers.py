@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.sources.pdf import parse_pdf
+
 #: Encodings that are tried where bytes are neither marked nor UTF-8, the fallback first.
 LEGACY = ["cp1252", "cp1250", "cp1251", "koi8-r", "iso8859-2", "cp852"]
 BOMS = [(codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")]
@@ -197,6 +199,26 @@ def parse_epub(data: bytes) -> dict:
     return {"text": "\n".join(texts), "title": first("title"), "authors": every("creator"), "description": first("description"), "publisher": first("publisher"), "publication_date": first("date"), "subjects": every("subject"), "languages": every("language"), "identifiers": numbers}
 
 
+def parse_fb2(data: bytes) -> dict:
+    """Metadata of the description and the text of the bodies; a packed file is its first member of that kind."""
+    if data[:2] == b"PK":
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            data = z.read(next(n for n in z.namelist() if n.lower().endswith(".fb2")))
+    root = ElementTree.fromstring(data)
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    inside = lambda e, name: [x for x in e.iter() if local(x) == name] if e is not None else []
+    text = lambda es: next((" ".join("".join(e.itertext()).split()) for e in es), "")
+    info, publish = next(iter(inside(root, "title-info")), None), next(iter(inside(root, "publish-info")), None)
+    authors = [" ".join(filter(None, (text(inside(a, n)) for n in ("first-name", "middle-name", "last-name")))) or text(inside(a, "nickname")) for a in inside(info, "author")]
+    lines = ["".join(x.itertext()) for b in inside(root, "body") for x in b.iter() if local(x) in ("p", "v", "subtitle")]
+    isbn = text(inside(publish, "isbn"))
+    date = next((d.get("value") or " ".join("".join(d.itertext()).split()) for d in inside(info, "date")), "") or text(inside(publish, "year"))
+    return {
+        "text": "\n".join(lines), "title": text(inside(info, "book-title")), "authors": [a for a in authors if a], "description": text(inside(info, "annotation")), "publisher": text(inside(publish, "publisher")), "publication_date": date,
+        "subjects": [g for g in (text([x]) for x in inside(info, "genre")) if g], "languages": [v for v in (text([x]) for x in inside(info, "lang")) if v], "identifiers": [{"scheme": "ISBN", "value": isbn, "source": "METADATA"}] if isbn else [],
+    }
+
+
 def html_text(s: str) -> str:
     """Text of HTML: script, style and head dropped, blocks as lines, entities decoded."""
     from html import unescape
@@ -214,7 +236,9 @@ def unsupported(name: str) -> Callable[[bytes], dict]:
 
 
 #: Parsers by format; add one to read another.
-PARSERS: dict[str, Callable[[bytes], dict]] = {"txt": parse_txt, "rtf": parse_rtf, "epub": parse_epub, "kepub": parse_epub} | {f: unsupported(f) for f in ("pdf", "mobi", "azw", "azw3", "prc", "lit", "fb2", "fb3", "pdb", "chm", "lrf")}
+PARSERS: dict[str, Callable[[bytes], dict]] = {"txt": parse_txt, "rtf": parse_rtf, "epub": parse_epub, "kepub": parse_epub, "fb2": parse_fb2, "pdf": parse_pdf} | {
+    f: unsupported(f) for f in ("mobi", "azw", "azw3", "prc", "lit", "fb3", "pdb", "chm", "lrf")
+}
 
 
 def parse(files: DataFrame, parsers: dict[str, Callable[[bytes], dict]] | None = None) -> DataFrame:
