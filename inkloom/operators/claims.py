@@ -7,7 +7,6 @@ task for each. Attestation and the tests of equivalence are column expressions w
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -139,30 +138,3 @@ def grouping_suspects(resolved: DataFrame) -> DataFrame:
     """file_id (or book) of those with a second title that isn't weak and no truncation of the first."""
     titles = resolved.where("field = 'title' AND status <> 'weak'")
     return titles.groupBy("file_id").agg(F.count("*").alias("n")).where("n > 1").select("file_id")
-
-
-LABELS = {"title": "title", "author": "author", "authors": "author", "by": "author", "publisher": "publisher", "language": "language", "cim": "title", "szerzo": "author", "titre": "title", "auteur": "author", "titel": "title", "autor": "author"}
-
-
-def header_claims(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Claims from the labels that a text opens with (``Title: …``), from front matter between ``---`` lines, and from
-    the first two lines where they read as a title and its author."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch[ident], batch[text]):
-                lines = [x.strip() for x in (t or "")[:8192].splitlines()]
-                if lines[:1] == ["---"]:
-                    lines = lines[1:]
-                ordinal = 0
-                for line in [x for x in lines if x][:24]:
-                    m = re.match(r"^([^\W\d_]{2,10})\s*:\s*(.+)$", line)
-                    if not m or key(m[1]) not in LABELS:
-                        break
-                    for v in re.split(r"\s*[;&]\s*|\s+and\s+", m[2]) if LABELS[key(m[1])] == "author" else [m[2]]:
-                        rows.append((i, LABELS[key(m[1])], v.strip("\"' "), "header", "labels", ordinal))
-                        ordinal += 1
-            yield pd.DataFrame(rows, columns=["file_id", "field", "value", "source", "set", "ordinal"])
-
-    return docs.select(ident, text).mapInPandas(run, "file_id long, field string, value string, source string, set string, ordinal int")
