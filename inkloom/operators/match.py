@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,36 +190,30 @@ def group_key(work: Column, edition: Column) -> Column:
 def work_groups(found: DataFrame) -> DataFrame:
     """Adds work_group: the candidate's work, or the one that it is folded into. Groups of a book are taken from
     the best candidate's down; a group joins an earlier seed with a common title key and compatible authors (a
-    common key, or equal tokens of the first author). Not transitive, and a book has few, so it is done book by book."""
+    common key, or equal tokens of the first author). Not transitive, so each book's are
+    folded in order, as one expression."""
     keyed = found.withColumn("base", group_key(F.col("work_key"), F.col("edition_key")))
     titles = F.array_distinct(F.filter(F.array(title_key(F.coalesce("edition_title", F.lit(""))), title_key(F.coalesce("work_title", F.lit("")))), lambda t: t != ""))
+    order = F.struct((-F.col("score")).alias("s"), F.col("isbn").isNull().alias("i"), F.coalesce("priority", F.lit(9)).alias("p"), (-F.col("title_score")).alias("t"), (-F.col("author_score")).alias("a"), "edition_key")
     facts = keyed.select(
-        "book_id", "base", "edition_key", "score", F.col("isbn").isNull().alias("no_isbn"), F.coalesce("priority", F.lit(9)).alias("priority"), "title_score", "author_score", titles.alias("titles"),
-        F.coalesce("author_keys", F.array().cast("array<string>")).alias("author_keys"), F.array_join(author_tokens(F.coalesce(F.get("author_names", F.lit(0)), F.lit(""))), " ").alias("first_author"),
+        "book_id", "base", order.alias("order"), titles.alias("titles"), F.coalesce("author_keys", F.array().cast("array<string>")).alias("author_keys"),
+        F.array_join(author_tokens(F.coalesce(F.get("author_names", F.lit(0)), F.lit(""))), " ").alias("first_author"),
     )
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "no_isbn", "priority", "title_score", "author_score", "edition_key"], ascending=[False, True, True, False, False, True])
-        best = rows.drop_duplicates("base")
-        size = rows.groupby("base").size()
-        rank = {b: n for n, b in enumerate(best["base"])}
-        seeds: list[tuple] = []
-        for r in best.itertuples():
-            for seed, members in seeds:
-                same_title = set(seed.titles) & set(r.titles)
-                same_author = (set(seed.author_keys) & set(r.author_keys)) or (seed.first_author and seed.first_author == r.first_author)
-                if same_title and same_author:
-                    members.append(r.base)
-                    break
-            else:
-                seeds.append((r, [r.base]))
-        into = {}
-        for _, members in seeds:
-            head = min(members, key=lambda b: (-size[b], rank[b]))
-            into.update(dict.fromkeys(members, head))
-        return pd.DataFrame({"book_id": rows["book_id"].iloc[0], "base": list(into), "work_group": list(into.values())})
-
-    folded = facts.groupBy("book_id").applyInPandas(fold, "book_id long, base string, work_group string")
+    best = facts.groupBy("book_id", "base").agg(F.count("*").alias("size"), F.min("order").alias("order"), F.min_by(F.struct("titles", "author_keys", "first_author"), "order").alias("of"))
+    listed = best.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("order", "base", "size", "of"))).alias("bases"))
+    empty = F.expr("cast(array() AS array<struct<titles:array<string>,author_keys:array<string>,first_author:string,members:array<struct<size:bigint,rank:int,base:string>>>>)")
+    overlap = lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))
+
+    def take(seeds, b):
+        me = F.struct((-b["size"]).alias("size"), F.aggregate(seeds, F.lit(0), lambda n, s: n + F.size(s["members"])).alias("rank"), b["base"].alias("base"))
+        fits = F.transform(seeds, lambda s: overlap(s["titles"], b["of"]["titles"]) & (overlap(s["author_keys"], b["of"]["author_keys"]) | ((s["first_author"] != "") & (s["first_author"] == b["of"]["first_author"]))))
+        at = F.array_position(fits, True)
+        joined = F.transform(seeds, lambda s, i: F.when(i + 1 == at, s.withField("members", F.concat(s["members"], F.array(me)))).otherwise(s))
+        opened = F.struct(b["of"]["titles"].alias("titles"), b["of"]["author_keys"].alias("author_keys"), b["of"]["first_author"].alias("first_author"), F.array(me).alias("members"))
+        return F.when(at > 0, joined).otherwise(F.concat(seeds, F.array(opened)))
+
+    seeds = listed.select("book_id", F.explode(F.aggregate("bases", empty, take)).alias("seed"))
+    folded = seeds.select("book_id", F.explode("seed.members.base").alias("base"), F.array_min("seed.members")["base"].alias("work_group"))
     return keyed.join(folded, ["book_id", "base"]).drop("base")
 
 

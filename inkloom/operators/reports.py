@@ -57,6 +57,32 @@ def review(matches: DataFrame, conflicts: DataFrame) -> DataFrame:
     return rows.orderBy(order, "book_id")
 
 
+def library_counts(books: DataFrame, title: str, author: str) -> DataFrame:
+    """n_books, n_titles and n_authors of a library, in one pass."""
+    return books.agg(F.count("*").alias("n_books"), F.count_distinct(title).alias("n_titles"), F.count_distinct(author).alias("n_authors"))
+
+
+def identified_books(*sources: DataFrame) -> DataFrame:
+    """How many books (the first column of each source) any of the sources knows, each once."""
+    ids = [s.select(F.col(s.columns[0]).alias("k")) for s in sources]
+    every = ids[0]
+    for more in ids[1:]:
+        every = every.unionByName(more)
+    return every.distinct().agg(F.count("*").alias("n"))
+
+
+def joined_names(books: DataFrame, names: DataFrame, key: str, name: str, separator: str = ", ") -> DataFrame:
+    """key and all its distinct names in order as one string; null where a book has none."""
+    listed = names.where(F.col(name).isNotNull()).select(key, name).distinct().groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(name)), separator).alias(name))
+    return books.select(key).distinct().join(listed, key, "left")
+
+
+def file_totals(books: DataFrame, files: DataFrame, key: str, amount: str) -> DataFrame:
+    """Books with the number of their files and the sum of an amount; files are added up before they are joined."""
+    per_book = files.groupBy(key).agg(F.count("*").alias("n_files"), F.sum(amount).alias("total"))
+    return books.join(per_book, key, "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+
+
 def status_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("status").agg(F.count("*").alias("books")).orderBy("status")
 

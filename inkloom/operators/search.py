@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.functions.text import fold_all, sanitize_query
+from inkloom.functions.text import containment, fold_all, sanitize_query
 
 
 def trigrams(c) -> Column:
@@ -46,6 +46,32 @@ def bm25(rows: DataFrame, ident: str, field: str, words: list[str], k1: float =
     return hits.select(ident, (-F.aggregate(F.transform("tf", term), F.lit(0.0), lambda s, x: s + x)).alias("rank"))
 
 
+def best_ranks(parts: list[DataFrame], ident: str) -> DataFrame:
+    """ident and its least rank in any of the parts (ident, rank)."""
+    hits = parts[0]
+    for more in parts[1:]:
+        hits = hits.unionByName(more)
+    return hits.groupBy(ident).agg(F.min("rank").alias("rank"))
+
+
+def containing(docs: DataFrame, items: DataFrame, least: float = 0.6) -> DataFrame:
+    """item_id, doc_id and hit of documents (doc_id, tokens) that hold at least a share of an item's tokens (item_id,
+    tokens), both lists of distinct tokens; items without tokens are held by none.
+
+    A document with such a share holds one of the item's rarest tokens, as many as may be missing and one more, so only
+    these are looked up; the pairs found are then compared in whole.
+    """
+    asked = items.where(F.size("tokens") > 0).select("item_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    held = docs.select("doc_id", F.explode("tokens").alias("token"))
+    wanted = asked.select("token").distinct()
+    counts = held.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    rare = asked.join(counts, "token", "left").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
+    rare = rare.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 0").select("item_id", "token")
+    met = held.join(rare, "token").select("item_id", "doc_id").distinct()
+    both = met.join(items.select("item_id", F.col("tokens").alias("x")), "item_id").join(docs.select("doc_id", F.col("tokens").alias("y")), "doc_id")
+    return both.withColumn("hit", containment(F.col("x"), F.col("y"))).where(F.col("hit") + 1e-9 >= least).select("item_id", "doc_id", "hit")
+
+
 def search(books: DataFrame, raw: str, author: bool = False, title: bool = False, limit: int = 0) -> DataFrame:
     """Books (book_id, title, authors) that hold the words of a search string in their title or in one author's name,
     by rank, then id; both fields by default and where both are asked for; a limit of 0 or less is none."""
@@ -56,7 +82,5 @@ def search(books: DataFrame, raw: str, author: bool = False, title: bool = False
     if author or not title:
         names = books.select("book_id", F.posexplode("authors").alias("pos", "name")).withColumn("row", F.struct("book_id", "pos"))
         parts.append(bm25(names, "row", "name", words).select(F.col("row.book_id").alias("book_id"), "rank"))
-    hits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    best = hits.groupBy("book_id").agg(F.min("rank").alias("rank"))
-    out = best.join(books, "book_id").orderBy("rank", "book_id")
+    out = best_ranks(parts, "book_id").join(books, "book_id").orderBy("rank", "book_id")
     return out.limit(limit) if limit > 0 else out

@@ -23,6 +23,11 @@ def update_from(rows: DataFrame, other: DataFrame, key: str, column: str, defaul
     return rows.drop(column).join(value, key, "left").withColumn(column, F.coalesce("_v", F.lit(default))).drop("_v")
 
 
+def least_of(rows: DataFrame, other: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows with the least value that another table has for their key, null where it has none: a scalar subquery."""
+    return rows.join(other.groupBy(key).agg(F.min(value).alias(name)), key, "left")
+
+
 def delete_orphans(rows: DataFrame, used: DataFrame, key: str) -> DataFrame:
     """rows whose key is in use; null keys aren't."""
     return rows.join(used.select(key), key, "left_semi")

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import dates, identifiers, text, titles
-from inkloom.operators import conflicts, dedup, match, quality, search, tables, votes
+from inkloom.operators import conflicts, dedup, match, quality, reports, search, tables, votes
 from inkloom.session import Scratch
+from inkloom.sources import dump
 from inkloom.sources import files as formats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 )
 def exact_duplicates(spark, sf_dir):
     groups = dedup.exact_groups(table(spark, sf_dir, "documents"))
-    return groups.select("content_hash", F.col("canonical").alias("canonical_id"), F.size("members").cast("long").alias("n_copies"))
+    return groups.select("content_hash", F.col("canonical").alias("canonical_id"), "n_copies")
 
 
 @query(
@@ -72,14 +73,12 @@ def first_file_of_each_content(spark, sf_dir):
        SELECT stored, least FROM f WHERE least < stored""",
 )
 def canonical_path_needed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.groupBy(F.sha2("text", 256)).agg(F.max("doc_id").alias("stored"), F.min("doc_id").alias("least")).where("least < stored").select("stored", "least")
+    return dedup.canonical_moves(table(spark, sf_dir, "documents"), "doc_id")
 
 
-# Signatures, bands and books. Few hash functions here, so that SQL can follow, and so only a check of the operator's
-# steps: these miss near duplicates. The whole job is that of the queries named full_..., further down.
+# Signatures, bands and books: 512 hash functions and 25 bands of 5
 
-_N, _R = 20, 5
+_N, _R, _NB = dedup.PERMUTATIONS, dedup.ROWS, dedup.BANDS
 _A, _B = dedup.coefficients(_N)
 _SIGNED_SQL = f"""
 first AS (SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text),
@@ -92,7 +91,7 @@ signed AS MATERIALIZED (SELECT doc_id, [{", ".join(f"min((h * {a} + {b}) % 21474
 
 def _signed(spark, sf_dir):
     docs = dedup.first_of_each(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return dedup.signatures_sql(dedup.shingled(docs), "doc_id", _N)
+    return Scratch(spark, "signed").save(dedup.signatures(docs), "signatures")
 
 
 @query("minhash_signatures", f"WITH {_SIGNED_SQL} SELECT doc_id, array_to_string(sig, ',') AS signature FROM signed")
@@ -101,7 +100,7 @@ def minhash_signatures(spark, sf_dir):
 
 
 _PAIRS_SQL = f"""{_SIGNED_SQL},
-spread AS (SELECT doc_id, b, sig[b * {_R} + 1 : b * {_R} + {_R}] AS rows FROM signed, range(0, {_N // _R}) t(b)),
+spread AS (SELECT doc_id, b, sig[b * {_R} + 1 : b * {_R} + {_R}] AS rows FROM signed, range(0, {_NB}) t(b)),
 pairs AS (SELECT DISTINCT l.doc_id AS earlier, r.doc_id AS later FROM spread l JOIN spread r ON l.b = r.b AND l.rows = r.rows AND l.doc_id < r.doc_id),
 scored AS MATERIALIZED (SELECT earlier, later, len(list_filter(list_zip(a.sig, c.sig), lambda x: x[1] = x[2])) / {_N}.0 AS similarity
            FROM pairs JOIN signed a ON a.doc_id = earlier JOIN signed c ON c.doc_id = later)"""
@@ -109,60 +108,42 @@ scored AS MATERIALIZED (SELECT earlier, later, len(list_filter(list_zip(a.sig, c
 
 @query("lsh_candidate_pairs", f"WITH {_PAIRS_SQL} SELECT earlier, later, round(similarity, 6)::DOUBLE AS similarity FROM scored")
 def lsh_candidate_pairs(spark, sf_dir):
-    pairs = dedup.candidate_pairs(_signed(spark, sf_dir), n=_N // _R, rows=_R)
-    return pairs.select("earlier", "later", F.round("similarity", 6).alias("similarity"))
+    return dedup.candidate_pairs(_signed(spark, sf_dir)).select("earlier", "later", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
     "near_duplicate_books",
     f"""WITH RECURSIVE {_PAIRS_SQL},
     parent AS (SELECT later, arg_max(earlier, similarity * 1e9 - earlier) AS up FROM scored WHERE similarity >= 0.75 GROUP BY later),
-    walk AS (SELECT s.doc_id AS file, coalesce(p.up, s.doc_id) AS book FROM signed s LEFT JOIN parent p ON p.later = s.doc_id
+    walk AS (SELECT s.doc_id AS file, coalesce(p.up, s.doc_id) AS book FROM first s LEFT JOIN parent p ON p.later = s.doc_id
              UNION SELECT w.file, p.up FROM walk w JOIN parent p ON p.later = w.book)
     SELECT file, min(book) AS book FROM walk GROUP BY file""",
 )
 def near_duplicate_books(spark, sf_dir):
-    # as in its SQL, of signed files only; full_near_duplicate_books has the files of fewer words too
-    return dedup.books(_signed(spark, sf_dir), n=_N // _R, rows=_R)
-
-
-# The same at the operator's own size, 512 hash functions and 25 bands of 5, without SQL.
-
-
-def _fully_signed(spark, sf_dir):
-    docs = dedup.first_of_each(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return Scratch(spark, "signed").save(dedup.signatures(docs), "signatures")
+    files = dedup.first_of_each(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
+    return dedup.books(_signed(spark, sf_dir), files=files)
 
 
-@query("full_minhash_signatures")
-def full_minhash_signatures(spark, sf_dir):
-    return _fully_signed(spark, sf_dir).select("doc_id", F.array_join("signature", ",").alias("signature"))
+# Text keys and tokens
 
+_KEY = "trim(regexp_replace(replace(replace(replace(strip_accents(lower({0})), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
 
-@query("full_lsh_candidate_pairs")
-def full_lsh_candidate_pairs(spark, sf_dir):
-    return dedup.candidate_pairs(_fully_signed(spark, sf_dir)).select("earlier", "later", F.round("similarity", 6).alias("similarity"))
 
+_LINES = "(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1)::INTEGER AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL) x)"
 
-@query("full_near_duplicate_books")
-def full_near_duplicate_books(spark, sf_dir):
-    files = dedup.first_of_each(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
-    return dedup.books(_fully_signed(spark, sf_dir), files=files)
 
-
-# Text keys and tokens
-
-_KEY = "trim(regexp_replace(replace(replace(replace(strip_accents(lower({0})), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
+def _lines(spark, sf_dir):
+    """Every line of every text, as a title that may be one."""
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("line_no"), "line")
 
 
 @query(
     "title_keys",
-    f"""WITH t AS (SELECT doc_id, {_KEY.format("string_split(text, chr(10))[1]")} AS k FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, k AS title_key, array_to_string(list_sort(list_distinct(list_filter(string_split(k, ' '), lambda x: x <> ''))), ' ') AS tokens FROM t""",
+    f"""WITH t AS (SELECT doc_id, line_no, {_KEY.format("line")} AS k FROM {_LINES} y)
+    SELECT doc_id, line_no, k AS title_key, array_to_string(list_sort(list_distinct(list_filter(string_split(k, ' '), lambda x: x <> ''))), ' ') AS tokens FROM t""",
 )
 def title_keys(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n")[0].alias("line"))
-    return docs.select("doc_id", text.title_key("line").alias("title_key"), F.array_join(text.title_tokens("line"), " ").alias("tokens"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", text.title_key("line").alias("title_key"), F.array_join(text.title_tokens("line"), " ").alias("tokens"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -171,12 +152,11 @@ _PART = ", ".join(f"'{w}'" for w in text.NAME_PARTICLES)
 
 @query(
     "token_sets",
-    f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split({_KEY.format("string_split(text, chr(10))[1]")}, ' '), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, len(list_filter(w, lambda x: x NOT IN ({_STOP})))::INTEGER AS content_tokens, len(list_filter(w, lambda x: length(x) > 2 AND x NOT IN ({_PART})))::INTEGER AS author_tokens FROM t""",
+    f"""WITH t AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split({_KEY.format("line")}, ' '), lambda x: x <> ''))) AS w FROM {_LINES} y)
+    SELECT doc_id, line_no, array_to_string(list_filter(w, lambda x: x NOT IN ({_STOP})), ' ') AS content_tokens, array_to_string(list_filter(w, lambda x: length(x) > 2 AND x NOT IN ({_PART})), ' ') AS author_tokens FROM t""",
 )
 def token_sets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n")[0].alias("line"))
-    return docs.select("doc_id", F.size(text.content_tokens("line")).alias("content_tokens"), F.size(text.author_tokens("line")).alias("author_tokens"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", F.array_join(text.content_tokens("line"), " ").alias("content_tokens"), F.array_join(text.author_tokens("line"), " ").alias("author_tokens"))
 
 
 @query(
@@ -198,15 +178,13 @@ def title_similarity(spark, sf_dir):
     f"""WITH d AS (SELECT doc_id, list_distinct(string_split({_KEY.format("text")}, ' ')) AS t FROM documents WHERE text IS NOT NULL),
     b AS (SELECT item_id, list_distinct(list_filter(string_split({_KEY.format("text")}, ' '), lambda x: x <> '' AND x NOT IN ({_STOP}))) AS t FROM benchmark),
     hits AS (SELECT b.item_id, d.doc_id, round(len(list_intersect(b.t, d.t)) / len(b.t)::DOUBLE, 6) AS hit FROM b, d WHERE len(b.t) > 0)
-    SELECT item_id, max(hit) AS best_hit, count(*) FILTER (WHERE hit >= 0.6) AS n_docs FROM hits GROUP BY item_id""",
+    SELECT item_id, doc_id, hit FROM hits WHERE hit >= 0.6""",
 )
 def benchmark_containment(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(text.title_tokens("text")).alias("w"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.content_tokens("text").alias("t")).where(F.size("t") > 0)
-    asked = items.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    hits = docs.join(asked, "w").groupBy("item_id", "n", "doc_id").agg(F.round(F.count("*") / F.col("n"), 6).alias("hit"))
-    best = hits.groupBy("item_id").agg(F.max("hit").alias("m"), F.count_if(F.col("hit") >= 0.6).alias("c"))
-    return items.select("item_id").join(best, "item_id", "left").select("item_id", F.coalesce("m", F.lit(0.0)).alias("best_hit"), F.coalesce("c", F.lit(0)).alias("n_docs"))
+    scratch = Scratch(spark, "containment")
+    docs = scratch.save(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.title_tokens("text").alias("tokens")), "docs")
+    items = scratch.save(table(spark, sf_dir, "benchmark").select("item_id", text.content_tokens("text").alias("tokens")), "items")
+    return search.containing(docs, items).select("item_id", "doc_id", F.round("hit", 6).alias("hit"))
 
 
 # Quality gates
@@ -227,12 +205,12 @@ def html_pages(spark, sf_dir):
 
 @query(
     "size_and_binary_gate",
-    """SELECT doc_id, CASE WHEN n_chars < 400 THEN 'min_size' WHEN length(regexp_replace(substr(text, 1, 4096), '[^\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F]', '', 'g')) * 100 > length(substr(text, 1, 4096)) THEN 'binary' ELSE 'ok' END AS gate
+    """SELECT doc_id, CASE WHEN n_chars < 15360 THEN 'min_size' WHEN length(regexp_replace(substr(text, 1, 4096), '[^\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F]', '', 'g')) * 100 > length(substr(text, 1, 4096)) THEN 'binary' ELSE 'ok' END AS gate
        FROM documents WHERE text IS NOT NULL""",
 )
 def size_and_binary_gate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    gate = F.when(quality.below_min_size("n_chars", least=400), "min_size").when(quality.looks_binary("text"), "binary").otherwise("ok")
+    gate = F.when(quality.below_min_size("n_chars"), "min_size").when(quality.looks_binary("text"), "binary").otherwise("ok")
     return docs.select("doc_id", gate.alias("gate"))
 
 
@@ -485,20 +463,11 @@ def match_decisions(spark, sf_dir):
     SELECT book_id, peer_book_id, CASE WHEN score < 0.20 THEN 'metadata_content_mismatch' ELSE 'possible_duplicate' END AS reason, round(score, 6)::DOUBLE AS score FROM s WHERE score < 0.75""",
 )
 def conflict_pairs(spark, sf_dir):
-    return _conflicts(spark, sf_dir, _signed(spark, sf_dir))
-
-
-def _conflicts(spark, sf_dir, signed):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.concat("lang", "source").alias("title"), F.array().cast("array<string>").alias("authors"), F.lit(0.0).alias("content_score"))
-    pairs = conflicts.conflict_pairs(docs, signed.withColumnRenamed("doc_id", "book_id"))
+    pairs = conflicts.conflict_pairs(docs, _signed(spark, sf_dir).withColumnRenamed("doc_id", "book_id"))
     return pairs.select("book_id", "peer_book_id", "reason", F.round("score", 6).alias("score"))
 
 
-@query("full_conflict_pairs")
-def full_conflict_pairs(spark, sf_dir):
-    return _conflicts(spark, sf_dir, _fully_signed(spark, sf_dir))
-
-
 @query(
     "status_overlay",
     """WITH pairs AS (SELECT a.p_partkey AS book_id, b.p_partkey AS peer, a.p_size / 50.0 AS ls, b.p_size / 50.0 AS rs FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
@@ -517,19 +486,38 @@ def status_overlay(spark, sf_dir):
 # Search
 
 
-@query(
-    "search_title_and_author",
-    """SELECT p_partkey AS book_id FROM part WHERE (contains(lower(p_name), 'ste') AND contains(lower(p_name), 'red')) OR (contains(lower(p_brand), 'ste') AND contains(lower(p_brand), 'red'))""",
-)
+_BM25_SQL = """
+grams{k} AS (SELECT DISTINCT substr(w, i, 3) AS g FROM (SELECT unnest({words}) AS w) a, range(1, 60) r(i) WHERE i <= length(w) - 2),
+sized{k} AS (SELECT p_partkey AS id, lower({field}) AS s, greatest(length({field}) - 2, 0) AS dl FROM part),
+total{k} AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sized{k}),
+tf{k} AS (SELECT id, g, len(list_filter(range(1, length(s) - 1), lambda i: substr(s, i, 3) = g)) AS tf FROM sized{k}, grams{k}),
+idf{k} AS (SELECT g, greatest(ln(((SELECT n FROM total{k}) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM tf{k} WHERE tf > 0 GROUP BY g),
+ranked{k} AS (SELECT h.id, -sum(coalesce(idf, 0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avgdl FROM total{k})))) AS rank FROM sized{k} h JOIN tf{k} USING (id) LEFT JOIN idf{k} USING (g) WHERE list_bool_and(list_transform({words}, lambda w: contains(s, w))) GROUP BY h.id)"""
+
+
+def _search_sql(words: str, *fields: str) -> str:
+    parts = ",".join(_BM25_SQL.format(k=k, words=words, field=f) for k, f in enumerate(fields))
+    return f"WITH {parts} SELECT id AS book_id, round(min(rank), 6) AS rank FROM ({' UNION ALL '.join(f'SELECT * FROM ranked{k}' for k in range(len(fields)))}) u GROUP BY 1"
+
+
+def _searched(spark, sf_dir, raw, **fields):
+    books = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array(F.regexp_replace("p_brand", "#", " n")).alias("authors"))
+    return search.search(books, raw, **fields).select("book_id", F.round("rank", 6).alias("rank"))
+
+
+@query("search_title_and_author", _search_sql("['red']", "p_name", "replace(p_brand, '#', ' n')"))
 def search_title_and_author(spark, sf_dir):
-    books = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"))
-    return search.search(books, 'ste* AND "RED"').select("book_id")
+    return _searched(spark, sf_dir, 'AND "RED"')
+
 
+@query("search_title", _search_sql("['small', 'bol']", "p_name"))
+def search_title(spark, sf_dir):
+    return _searched(spark, sf_dir, "bol* NOT small", title=True)
 
-@query("search_author", "SELECT p_partkey AS book_id FROM part WHERE contains(lower(p_brand), 'brand') AND contains(lower(p_brand), '#12')")
+
+@query("search_author", _search_sql("['brand', 'n12']", "replace(p_brand, '#', ' n')"))
 def search_author(spark, sf_dir):
-    books = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array(F.regexp_replace("p_brand", "#", "n")).alias("authors"))
-    return search.search(books, "brand n12", author=True).select("book_id")
+    return _searched(spark, sf_dir, "brand n12", author=True)
 
 
 @query(
@@ -546,7 +534,7 @@ def trigram_index(spark, sf_dir):
 
 @query("book_counts", "SELECT count(*) AS n_books, count(DISTINCT p_name) AS n_titles, count(DISTINCT p_brand) AS n_authors FROM part")
 def book_counts(spark, sf_dir):
-    return table(spark, sf_dir, "part").agg(F.count("*").alias("n_books"), F.count_distinct("p_name").alias("n_titles"), F.count_distinct("p_brand").alias("n_authors"))
+    return reports.library_counts(table(spark, sf_dir, "part"), "p_name", "p_brand")
 
 
 @query(
@@ -554,16 +542,13 @@ def book_counts(spark, sf_dir):
     """SELECT count(DISTINCT k) AS n FROM (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 200000 UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0) u""",
 )
 def books_with_isbn_count(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("k"))
-    b = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
-    return a.union(b).distinct().agg(F.count_distinct("k").alias("n"))
+    a = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select("o_custkey")
+    return reports.identified_books(a, table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey"))
 
 
 @query("status_counts", "SELECT o_orderstatus AS status, count(*) AS books FROM orders GROUP BY 1 ORDER BY 1")
 def status_counts(spark, sf_dir):
-    from inkloom.operators.reports import status_counts as counts
-
-    return counts(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
+    return reports.status_counts(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
 @query(
@@ -571,8 +556,9 @@ def status_counts(spark, sf_dir):
     "SELECT n_name AS book, string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS authors FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
 )
 def joined_author_names(spark, sf_dir):
-    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    return n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("book")).agg(F.nullif(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ", "), F.lit("")).alias("authors"))
+    books = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    names = table(spark, sf_dir, "customer").join(books, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_mktsegment")
+    return reports.joined_names(books, names, "n_name", "c_mktsegment").select(F.col("n_name").alias("book"), F.col("c_mktsegment").alias("authors"))
 
 
 @query(
@@ -581,8 +567,9 @@ def joined_author_names(spark, sf_dir):
 )
 def books_with_files(spark, sf_dir):
     n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
-    j = n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return j.groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("n_files"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+    books = n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", "n_name", "r_name")
+    out = reports.file_totals(books, c.select(F.col("c_nationkey").alias("n_nationkey"), "c_acctbal"), "n_nationkey", "c_acctbal")
+    return out.select("n_name", "r_name", "n_files", F.round("total", 2).alias("total"))
 
 
 @query(
@@ -590,13 +577,14 @@ def books_with_files(spark, sf_dir):
     """SELECT o_orderkey, (SELECT min(c_name) FROM customer WHERE c_custkey = o_custkey) AS first_author FROM orders WHERE o_orderstatus = 'F'""",
 )
 def first_author_of_target(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").groupBy(F.col("c_custkey").alias("o_custkey")).agg(F.min("c_name").alias("first_author"))
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").join(names, "o_custkey", "left").select("o_orderkey", "first_author")
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return tables.least_of(rows, names, "o_custkey", "c_name", "first_author").select("o_orderkey", "first_author")
 
 
-@query("orphan_authors", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("orphan_authors", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000)")
 def orphan_authors(spark, sf_dir):
-    used = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    used = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return tables.delete_where_in(table(spark, sf_dir, "customer").select("c_custkey"), used, "c_custkey")
 
 
@@ -623,24 +611,32 @@ def author_ordinals(spark, sf_dir):
     return tables.ordinals(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
 
 
+def _candidates_of_orders(spark, sf_dir):
+    """Orders as scored candidates: the customer is the book, the priority the work, the order the edition."""
+    none = F.lit(None)
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("book_id"), F.col("o_orderpriority").alias("work_group"), F.col("o_orderkey").alias("edition_key"), (F.col("o_totalprice") / 1e6).alias("score"),
+        none.cast("string").alias("isbn"), none.cast("int").alias("priority"), F.lit(0.5).alias("title_score"), F.lit(0.0).alias("author_score"),
+    )
+
+
 @query(
     "ranked_works",
-    """WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER w AS rank, lead(o_totalprice) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))
-    SELECT o_custkey, o_orderkey, rank::INTEGER AS rank, rank = 1 AS selected, round(CASE WHEN rank = 1 THEN coalesce(o_totalprice - nxt, 1) END, 2) AS gap FROM r WHERE rank <= 10""",
+    """WITH e AS (SELECT o_custkey, o_orderkey, o_totalprice / 1e6 AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, lead(o_totalprice / 1e6) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS next_score FROM orders)
+    SELECT o_custkey AS book_id, o_orderkey AS edition_key, rank::INTEGER AS rank, rank = 1 AS selected, round(score - next_score, 9) AS gap FROM e WHERE rank <= 10""",
 )
 def ranked_works(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.row_number().over(w).alias("rank"), F.lead("o_totalprice").over(w).alias("nxt")).where("rank <= 10")
-    gap = F.round(F.when(F.col("rank") == 1, F.coalesce(F.col("o_totalprice") - F.col("nxt"), F.lit(1.0))), 2)
-    return o.select("o_custkey", "o_orderkey", "rank", (F.col("rank") == 1).alias("selected"), gap.alias("gap"))
+    rows = _candidates_of_orders(spark, sf_dir).withColumn("work_group", F.col("edition_key").cast("string"))
+    return match.rank_works(rows).select("book_id", "edition_key", "rank", "selected", F.round(F.col("score") - F.col("next_score"), 9).alias("gap"))
 
 
 @query(
     "best_edition_of_work",
-    "SELECT o_custkey, o_orderpriority, arg_max(o_orderkey, o_totalprice) AS best, count(*) AS editions FROM orders GROUP BY 1, 2",
+    """WITH e AS (SELECT o_custkey AS book_id, o_orderpriority AS work_group, o_orderkey AS edition_key, o_totalprice AS s, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS edition_count, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders)
+    SELECT book_id, work_group, edition_key, edition_count, row_number() OVER (PARTITION BY book_id ORDER BY s DESC, edition_key)::INTEGER AS rank, count(*) OVER (PARTITION BY book_id) AS work_count FROM e WHERE n = 1""",
 )
 def best_edition_of_work(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.max_by("o_orderkey", "o_totalprice").alias("best"), F.count("*").alias("editions"))
+    return match.rank_works(_candidates_of_orders(spark, sf_dir)).select("book_id", "work_group", "edition_key", "edition_count", "rank", "work_count")
 
 
 @query(
@@ -670,17 +666,29 @@ def candidate_scores(spark, sf_dir):
 )
 def union_minimum_rank(spark, sf_dir):
     a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("rank"))
-    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("rank"))
-    return a.unionByName(b).groupBy("k").agg(F.min("rank").alias("rank"))
+    return search.best_ranks([a, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("rank"))], "k")
 
 
-@query(
-    "top_books_limit",
-    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey LIMIT 50",
-)
+_REVIEW_SQL = """m AS (SELECT o_orderkey AS book_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'confirmed' WHEN '2-HIGH' THEN 'ambiguous' WHEN '3-MEDIUM' THEN 'needs_review' WHEN '5-LOW' THEN 'no_data' ELSE 'not_found' END AS status FROM orders),
+c AS (SELECT l_orderkey AS book_id, min(CASE WHEN l_returnflag = 'A' THEN '0metadata_content_mismatch' ELSE '1possible_duplicate' END) AS r FROM lineitem WHERE l_quantity > 45 GROUP BY 1),
+r AS (SELECT m.book_id, status, coalesce(substr(r, 2), 'low') AS review_reason, CASE status WHEN 'ambiguous' THEN 0 WHEN 'needs_review' THEN 1 WHEN 'probable' THEN 2 WHEN 'not_found' THEN 3 ELSE 4 END AS o FROM m LEFT JOIN c USING (book_id) WHERE status <> 'confirmed')"""
+
+
+def _reviewed(spark, sf_dir):
+    status = F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'confirmed' WHEN '2-HIGH' THEN 'ambiguous' WHEN '3-MEDIUM' THEN 'needs_review' WHEN '5-LOW' THEN 'no_data' ELSE 'not_found' END")
+    matches = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("book_id"), status.alias("status"), F.lit("low").alias("review_reason"))
+    reason = F.when(F.col("l_returnflag") == "A", "metadata_content_mismatch").otherwise("possible_duplicate")
+    return reports.review(matches, table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("book_id"), reason.alias("reason")))
+
+
+@query("review_report", f"WITH {_REVIEW_SQL} SELECT book_id, status, review_reason FROM r")
+def review_report(spark, sf_dir):
+    return _reviewed(spark, sf_dir)
+
+
+@query("top_books_limit", f"WITH {_REVIEW_SQL} SELECT book_id, status, review_reason FROM r ORDER BY o, book_id LIMIT 50")
 def top_books_limit(spark, sf_dir):
-    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    return tables.limited(table(spark, sf_dir, "orders").orderBy(rank, F.desc("o_totalprice"), "o_orderkey"), 50).select("o_orderkey", "o_totalprice")
+    return tables.limited(_reviewed(spark, sf_dir), 50)
 
 
 @query("latest_run", "SELECT o_orderkey AS run_id, o_orderstatus AS status FROM orders ORDER BY o_orderkey DESC LIMIT 1")
@@ -690,11 +698,13 @@ def latest_run(spark, sf_dir):
 
 @query(
     "works_cap",
-    """SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) x WHERE r <= 5""",
+    """WITH r AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)
+    SELECT o_custkey AS book_id, o_orderkey AS edition_key, CASE WHEN r <= 5 THEN lower(o_orderpriority) END AS work_title, CASE WHEN r <= 5 THEN 'A' || substr(o_orderpriority, 1, 1) ELSE '' END AS author FROM r""",
 )
 def works_cap(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
-    return table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 5").select("l_orderkey", "l_partkey")
+    found = _candidates_of_orders(spark, sf_dir).withColumnRenamed("work_group", "work_key").withColumn("author_keys", F.array().cast("array<string>"))
+    works = found.select("work_key").distinct().select("work_key", F.lower("work_key").alias("title"), F.array(F.concat(F.lit("A"), F.substring("work_key", 1, 1))).alias("author_keys"))
+    return match.resolve_works(found, works).select("book_id", "edition_key", "work_title", F.array_join("author_keys", ",").alias("author"))
 
 
 @query(
@@ -744,40 +754,80 @@ def extension_statistics(spark, sf_dir):
     return formats.extension_counts(table(spark, sf_dir, "events").select(name.alias("path")))
 
 
+def _dump_lines(spark, sf_dir):
+    """Parts as lines of a dump: editions, with an ISBN of ten digits and an author, some of them damaged, and works."""
+    p = table(spark, sf_dir, "part")
+    edition = F.to_json(F.struct(F.concat(F.lit("/books/"), "p_partkey").alias("key"), F.col("p_name").alias("title"), F.array(F.lpad(F.col("p_partkey").cast("string"), 10, "0")).alias("isbn_10"), F.array(F.struct(F.concat(F.lit("/authors/"), "p_brand").alias("key"))).alias("authors"), F.array(F.struct(F.concat(F.lit("/works/"), "p_size").alias("key"))).alias("works")))
+    json = F.when(F.col("p_partkey") % 50 == 7, F.lit('{"key": "x"')).when(F.col("p_partkey") % 50 == 8, F.lit('{"title": 5}')).otherwise(edition)
+    line = F.concat_ws("\t", F.lit("/type/edition"), F.concat(F.lit("/books/"), "p_partkey"), F.lit("1"), F.lit("2020-01-01"), json)
+    line = F.when(F.col("p_partkey") % 50 == 9, F.lit("/type/edition\tcut")).when(F.col("p_partkey") % 50 == 10, F.lit("  ")).otherwise(F.concat(line, F.lit("\r")))
+    works = p.select(F.concat_ws("\t", F.lit("/type/work"), F.concat(F.lit("/works/"), "p_size"), F.lit("1"), F.lit("2020-01-01"), F.to_json(F.struct(F.col("p_type").alias("title")))).alias("value"), F.lit(-1).cast("long").alias("line_no"))
+    return p.select(line.alias("value"), F.col("p_partkey").alias("line_no")).unionByName(works)
+
+
 @query(
-    "dump_json_fields",
-    """SELECT event_id, coalesce(json_extract_string(props, '$.k')::INTEGER, -1) AS k FROM events""",
+    "dump_editions",
+    """SELECT p_partkey AS line_no, '/books/' || p_partkey AS edition_key, p_name AS title, lpad(p_partkey::VARCHAR, 10, '0') AS isbns, '/works/' || p_size AS work_key, '/authors/' || p_brand AS author_keys
+       FROM part WHERE p_partkey % 50 NOT IN (7, 8, 9, 10)""",
 )
-def dump_json_fields(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(-1)).alias("k"))
+def dump_editions(spark, sf_dir):
+    e = dump.editions(dump.split_rows(_dump_lines(spark, sf_dir)))
+    return e.select("line_no", "edition_key", "title", F.array_join("isbns", ",").alias("isbns"), "work_key", F.array_join("author_keys", ",").alias("author_keys"))
+
+
+@query("dump_malformed_rows", "SELECT p_partkey AS line_no FROM part WHERE p_partkey % 50 = 9")
+def dump_malformed_rows(spark, sf_dir):
+    return dump.split_rows(_dump_lines(spark, sf_dir)).where("malformed").select("line_no")
+
+
+@query("dump_keyed_works", "SELECT '/works/' || p_size AS work_key, p_type AS title, count(*) AS n FROM part WHERE p_size < 10 GROUP BY 1, 2")
+def dump_keyed_works(spark, sf_dir):
+    wanted = table(spark, sf_dir, "part").where("p_size < 10").select(F.concat(F.lit("/works/"), "p_size").alias("work_key"))
+    return dump.works(dump.keyed(dump.split_rows(_dump_lines(spark, sf_dir)), wanted, "work_key")).groupBy("work_key", "title").agg(F.count("*").alias("n"))
 
 
 @query(
     "duplicates_report",
     """WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS c FROM documents WHERE text IS NOT NULL)
-    SELECT c AS path, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS duplicates FROM h WHERE doc_id <> c GROUP BY 1""",
+    SELECT 'doc/' || c AS path, string_agg('doc/' || doc_id, ',' ORDER BY 'doc/' || doc_id) AS duplicates FROM h WHERE doc_id <> c GROUP BY c""",
 )
 def duplicates_report(spark, sf_dir):
-    pairs = dedup.duplicates_of(table(spark, sf_dir, "documents"))
-    return pairs.groupBy(F.col("canonical").alias("path")).agg(F.array_join(F.sort_array(F.collect_list("duplicate")).cast("array<string>"), ",").alias("duplicates")).orderBy("path")
+    docs = table(spark, sf_dir, "documents")
+    path = lambda c: F.concat(F.lit("doc/"), c)
+    canonical = dedup.exact_groups(docs).select("content_hash", path("canonical").alias("path"))
+    copies = docs.where("text IS NOT NULL").select(F.sha2("text", 256).alias("content_hash"), path("doc_id").alias("duplicate_path"))
+    return reports.duplicates(canonical, copies.join(canonical.select("content_hash", F.col("path").alias("duplicate_path")), ["content_hash", "duplicate_path"], "left_anti")).select("path", F.array_join("duplicates", ",").alias("duplicates"))
+
+
+@query(
+    "grouped_books_report",
+    """SELECT conv_id AS book_id, 'book ' || conv_id AS title, string_agg(lpad(turn::VARCHAR, 6, '0') || ':' || role, '>' ORDER BY turn) AS files FROM conversations GROUP BY 1""",
+)
+def grouped_books_report(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    books = c.select(F.col("conv_id").alias("book_id")).distinct().withColumn("title", F.concat(F.lit("book "), "book_id"))
+    files = c.select(F.col("conv_id").alias("book_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("path"), "role")
+    return reports.grouped_books(books, files).select("book_id", "title", F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["path"], f["role"])), ">").alias("files"))
 
 
 @query(
-    "conversation_report",
-    """SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY 1""",
+    "requested_books",
+    """WITH ids AS (SELECT o_custkey AS k, min(o_orderkey) AS pos FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) SELECT c_custkey AS book_id, c_name, row_number() OVER (ORDER BY pos) AS nth FROM customer JOIN ids ON k = c_custkey""",
 )
-def conversation_report(spark, sf_dir):
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(turns["role"], ">").alias("roles"))
+def requested_books(spark, sf_dir):
+    ids = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("pos"))
+    found = reports.requested_books(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), "c_name"), ids)
+    # the position in the report, from the order it comes in
+    first = ids.groupBy("book_id").agg(F.min("pos").alias("pos"))
+    return found.join(first, "book_id").withColumn("nth", F.row_number().over(Window.orderBy("pos")).cast("long")).select("book_id", "c_name", "nth")
 
 
 @query(
-    "label_evaluation",
-    """SELECT source, count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) > 1""",
+    "scan_counts",
+    """SELECT count(*) AS found, count(*) FILTER (WHERE p_size > 5 AND p_size % 4 <> 0) AS parsed, count(*) FILTER (WHERE p_size <= 5) AS failed, count(*) FILTER (WHERE p_size > 5 AND p_size % 4 = 0) AS skipped FROM part""",
 )
-def label_evaluation(spark, sf_dir):
-    j = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    return j.groupBy("source").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic")).where("n > 1")
+def scan_counts(spark, sf_dir):
+    return reports.scan_counts(table(spark, sf_dir, "part").select(F.when(F.col("p_size") <= 5, "bad").alias("error"), F.when(F.col("p_size") % 4 == 0, "min_size").alias("skip_reason")))
 
 
 @query("title_plausibility")
