@@ -129,13 +129,13 @@ def test_long_text_scores_as_its_sentences(spark, monkeypatch):
     text = ". ".join(" ".join(r.choice(["tree", "river", "Grumble", "stone"]) for _ in range(r.randint(1, 9))) for _ in range(300)) + " no mark at the end"
     docs = spark.createDataFrame([(1, text), (2, text[:50])], "doc_id long, text string")
     weights = np.random.default_rng(4).normal(size=(1 << toxicity.BITS) + 1).astype(np.float32) * 0.3
-    weights[-1] = -6
+    weights[-1] = -2
     batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": text}])
     run = toxicity.score_partition(type("Held", (), {"value": weights})(), 0.01)
     (one,) = run([batch])
     monkeypatch.setattr(toxicity, "PIECE", 100)
     (two,) = run([batch])
-    assert one.column("offending").to_pylist() == two.column("offending").to_pylist() and len(one.column("offending")[0]) > 3
+    assert one.column("offending").to_pylist() == two.column("offending").to_pylist() and len(one.column("offending")[0]) > 20
     assert abs(one.column("score")[0].as_py() - two.column("score")[0].as_py()) < 1e-9
     assert docs.count() == 2
 

@@ -42,6 +42,7 @@ def rows_of_documents():
         w[i % len(w)] = f"the{'ly' * (i % 5)}"
         rows.append((i, " ".join(w), rows[3][2], "src1", 1))
     long = text("de", 900)
+    rows += [(190 + i, text("de", 500), "de", "src2", 1) for i in range(6)]  # of several pieces each, and some are in the mix
     rows += [(185, long, "de", "src2", len(long)), (186, None, "en", "src2", 0), (187, "", "en", "src2", 0), (188, " \n\t ", None, "src3", 4), (189, "12 34 !", None, "src3", 7)]
     rows += [rows[5], rows[5], (7, rows[9][1], "en", "src1", 3), (None, rows[11][1], "en", "src1", 3), (None, "the and only ling", "en", None, 3)]
     return rows
