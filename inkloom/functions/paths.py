@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkloom.functions.text import article_to_front, col, fold_latin, normalize, phrase_in, title_key
-from inkloom.functions.titles import is_artifact_title, is_placeholder_author, name_score, title_score
+from inkloom.functions.text import article_to_front, col, fold_latin, normalize, phrase_in, title_key, title_tokens
+from inkloom.functions.titles import is_artifact_title, is_placeholder_author, is_placeholder_title, name_score, title_score
 
 # Suffixes that are cut from names, and those that make a "!" the border of an archive.
 EBOOK = r"(?i)\.(epub|mobi|azw3|azw|prc|pdf|fb2|djvu|txt|text|rtf)$"
@@ -74,11 +74,25 @@ def folder_author(path) -> Column:
 
 
 def wash_author(title, author) -> Column:
-    """A title without its author's name before or after a dash, or after ``by``; untouched where nothing would be left."""
-    t, a = normalize(title), normalize(author)
-    escaped = F.regexp_replace(a, r"([\\.\[\]{}()*+?^$|])", r"\\\\$1")
-    out = F.when(a == "", t).otherwise(F.trim(F.regexp_replace(t, F.concat(F.lit(r"(?i)^"), escaped, F.lit(r"\s*[-–—:]\s*|\s*(?:[-–—]|\bby)\s*"), escaped, F.lit("$")), F.lit(""))))
-    return F.when(out == "", t).otherwise(out)
+    """A title without its author before a dash at its front, after a dash at its end, or after ``by``. The part has to
+    have the words of the author's name, in any order; nothing changes where nothing, or no title, would be left."""
+    t, name = normalize(title), title_tokens(author)
+    is_author = lambda part: (F.size(name) > 0) & (title_tokens(part) == name)
+    front, back, by = r"^(.+?)(?:\s+[-–—]+\s*|\s*[-–—]+\s+)(.+)$", r"^(.+)(?:\s+[-–—]+\s*|\s*[-–—]+\s+)(.+?)$", r"(?i)^(.+)\sby\s(.+)$"
+    part = lambda pattern, k: F.trim(F.regexp_extract(t, pattern, k))
+    out = F.when(t.rlike(front) & is_author(part(front, 1)), part(front, 2)).when(t.rlike(back) & is_author(part(back, 2)), part(back, 1)).when(t.rlike(by) & is_author(part(by, 2)), part(by, 1)).otherwise(t)
+    out = normalize(F.btrim(out, F.lit(" \t-–—,.;:!?()[]\"'/_")))
+    return F.when((out == "") | is_placeholder_title(out), t).when(out == F.btrim(t, F.lit(" \t-–—,.;:!?()[]\"'/_")), t).otherwise(out)
+
+
+def calibre_author(path) -> Column:
+    """The author of ``Title - Last, First`` or ``Title - First Last``, where only he is wanted: the part after the last
+    dash, if it looks like a name and no other part does; empty else."""
+    parts = F.split(title_from_path(path), r"\s+[-–—]\s+")
+    last = F.element_at(parts, -1)
+    turned = F.when(last.rlike(r"^[^,]+, [^,]+$"), F.regexp_replace(last, r"^([^,]+), ([^,]+)$", "$2 $1")).otherwise(last)
+    others = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: name_score(p) >= 3)
+    return F.when((F.size(parts) >= 2) & (name_score(turned) >= 3) & ~is_placeholder_author(turned) & ~others, turned).otherwise("")
 
 
 def hypotheses(path) -> Column:

@@ -191,6 +191,16 @@ def plain_text(c) -> Column:
     return normalize(out)
 
 
+def encode_list(c) -> Column:
+    """A list as JSON text, for stores without lists; null and empty lists are ``[]``."""
+    return F.coalesce(F.to_json(col(c)), F.lit("[]"))
+
+
+def decode_list(c) -> Column:
+    """The list in JSON text; empty where there is none or it can't be read."""
+    return F.coalesce(F.from_json(col(c), "array<string>"), F.array().cast("array<string>"))
+
+
 def human_size(c) -> Column:
     """Bytes in the largest unit that leaves one at least."""
     c = col(c)

@@ -129,9 +129,41 @@ def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def resolve(prepared: DataFrame) -> DataFrame:
-    """Clusters of each file's title and author claims with their status, the chosen one marked; for books, give the
-    book's id as file_id and claims of all its distinct contents."""
-    return prepared.groupBy("file_id").applyInPandas(_resolve, KIND)
+    """Clusters of each file's title and author claims with their status, the chosen one marked. Rows are sorted within
+    partitions and read as a stream, a file at a time, so that a partition makes one pass and no frame for each file."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            # the last file of a batch may go on in the next
+            cut = int((rows["file_id"] != rows["file_id"].iloc[-1]).sum()) if len(rows) else 0
+            done, rest = rows.iloc[:cut], rows.iloc[cut:]
+            if len(done):
+                yield pd.concat([_resolve(g) for _, g in done.groupby("file_id", sort=False)], ignore_index=True)
+        if rest is not None and len(rest):
+            yield _resolve(rest)
+
+    ordered = prepared.where("file_id IS NOT NULL").repartition("file_id").sortWithinPartitions("file_id")
+    return ordered.mapInPandas(run, KIND)
+
+
+def book_claims(claims: DataFrame, files: DataFrame) -> DataFrame:
+    """Claims of files as claims of their books, for ``prepare`` and ``resolve``: file_id is the book's id. Files (file_id,
+    book_id, content_hash) of one content are one witness, of which the first file's claims stay; a set is named by its
+    file, so that two readings of one file's name stay apart."""
+    known = files.select("file_id", "book_id", F.coalesce("content_hash", F.col("file_id").cast("string")).alias("witness"))
+    first = known.groupBy("book_id", "witness").agg(F.min("file_id").alias("file_id")).select("file_id", "book_id")
+    named = claims.join(first, "file_id").withColumn("set", F.concat_ws(":", F.col("file_id").cast("string"), "set"))
+    return named.drop("file_id").withColumnRenamed("book_id", "file_id").select(*claims.columns)
+
+
+def chosen(resolved: DataFrame) -> DataFrame:
+    """book_id, title and authors that are believed: the chosen title, unless it is weak, and the authors' clusters that
+    are attested, confirmed or supported."""
+    title = F.max(F.when((F.col("field") == "title") & F.col("chosen") & (F.col("status") != "weak"), F.col("value")))
+    names = F.sort_array(F.collect_list(F.when((F.col("field") == "author") & F.col("status").isin("attested", "confirmed", "supported"), F.struct("cluster", "value"))))
+    return resolved.groupBy(F.col("file_id").alias("book_id")).agg(F.coalesce(title, F.lit("")).alias("title"), F.transform(names, lambda n: n["value"]).alias("authors"))
 
 
 def grouping_suspects(resolved: DataFrame) -> DataFrame:

@@ -23,6 +23,11 @@ def below_min_size(size, fmt=None, least: int = 0) -> Column:
     return small if fmt is None else small & col(fmt).isin("txt", "rtf", "pdf")
 
 
+def format_disabled(fmt, enabled: list[str]) -> Column:
+    """Whether a file's format is one that this installation can't read, so that the file is skipped and not a failure."""
+    return ~col(fmt).isin(*enabled)
+
+
 def looks_binary(text) -> Column:
     """Over 1 % of the first 4,096 characters are controls or replacement characters."""
     sample = F.substring(col(text), 1, 4096)

@@ -93,6 +93,20 @@ def scan_counts(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count("*").alias("found"), F.count_if(~failed & ~skipped).alias("parsed"), F.count_if(failed).alias("failed"), F.count_if(skipped).alias("skipped"))
 
 
+def skips(parsed: DataFrame) -> DataFrame:
+    """path and reason of files that were left out, by path; failed ones are not among them."""
+    return parsed.where(F.col("error").isNull() & F.col("skip_reason").isNotNull()).select("path", F.col("skip_reason").alias("reason")).orderBy("path")
+
+
+def console_lines(found: DataFrame, files: DataFrame) -> DataFrame:
+    """book_id and a block of text of each book found (book_id, title, authors): ``Authors: Title`` and its files
+    (book_id, path), a line each, indented."""
+    listed = files.groupBy("book_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("path")), lambda p: F.concat(F.lit("\n  "), p)), "").alias("lines"))
+    who = F.array_join("authors", ", ")
+    head = F.when(who == "", F.col("title")).otherwise(F.concat_ws(": ", who, "title"))
+    return found.join(listed, "book_id", "left").select("book_id", F.concat(head, F.coalesce("lines", F.lit(""))).alias("block"))
+
+
 def write_json_lines(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines, in their order; fields that are null are left out."""
     rows.write.mode("overwrite").json(path)

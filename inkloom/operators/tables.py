@@ -42,6 +42,29 @@ def ordinals(rows: DataFrame, group: str, order: str, name: str = "ordinal") ->
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
 
 
+def start_run(runs: DataFrame, root: str, mode: str, started: int) -> DataFrame:
+    """runs (run_id, root, mode, status, started, finished) and a new one, running, with the next id. A root other than
+    that of the latest run is an error: its rows would be taken for those of the other."""
+    last = latest(runs).select("run_id", "root").first()
+    if last is not None and last["root"] != root:
+        raise ValueError(f"the store was made from {last['root']}, not from {root}")
+    new = runs.sparkSession.createDataFrame([(last["run_id"] + 1 if last else 1, root, mode, "running", started, None)], runs.schema)
+    return runs.unionByName(new)
+
+
+def end_run(runs: DataFrame, run_id: int, status: str, finished: int) -> DataFrame:
+    mine = F.col("run_id") == run_id
+    return runs.withColumn("status", F.when(mine, status).otherwise(F.col("status"))).withColumn("finished", F.when(mine, F.lit(finished).cast("long")).otherwise(F.col("finished")))
+
+
+def backfill(rows: DataFrame, version: str, current: int, derive) -> DataFrame:
+    """rows with what ``derive`` makes of those whose version column is missing or older; the others are not touched,
+    and all have the current version afterwards. ``derive`` maps rows to rows of the same columns."""
+    stale = F.col(version).isNull() | (F.col(version) < current)
+    done = derive(rows.where(stale)).withColumn(version, F.lit(current).cast(rows.schema[version].dataType)).select(*rows.columns)
+    return rows.where(~stale).unionByName(done)
+
+
 def latest(runs: DataFrame, ident: str = "run_id") -> DataFrame:
     return runs.orderBy(F.desc(ident)).limit(1)
 

@@ -224,25 +224,6 @@ def letters_and_lines(spark, sf_dir):
     return docs.select("doc_id", F.size(quality.lines_of("text")).alias("n_lines"), quality.letters("text").alias("n_letters"))
 
 
-@query("junk_reasons")
-def junk_reasons(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "n_chars")
-    pages = table(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("id"), F.col("html").alias("text"), F.length("html").cast("long").alias("n_chars"))
-    return docs.unionByName(pages).select("id", quality.junk_reason("text", "n_chars").alias("reason"))
-
-
-@query("detected_language")
-def detected_language(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", F.array("lang").alias("declared"))
-    found = quality.detect_languages(docs)
-    return found.select("doc_id", "code", F.array_join(dates.reconcile_language("declared", "code", "confidence"), ",").alias("languages"))
-
-
-@query("plain_text_of_pages")
-def plain_text_of_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text.plain_text("html")).alias("n_text"))
-
-
 # Votes
 
 
@@ -385,6 +366,12 @@ def _editions(spark, sf_dir):
     return match.prepare_editions(rows.select("line_no", F.concat_ws("/", "p_name", "p_brand").alias("edition_key"), title.alias("title"), F.array().cast("array<string>").alias("isbns"), F.concat(F.lit("/works/"), "p_name").alias("work_key"), F.array("p_brand").alias("author_keys")))
 
 
+def _prepared(spark, sf_dir):
+    """Books and editions, written once: their keys and tokens are long expressions that each step would make again."""
+    scratch = Scratch(spark, "link")
+    return scratch.save(_books(spark, sf_dir), "books"), scratch.save(_editions(spark, sf_dir), "editions")
+
+
 _LINK_SQL = """
 books AS (SELECT p_partkey AS book_id, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS k FROM part),
 b AS MATERIALIZED (SELECT book_id, k, list_distinct(string_split(k, ' ')) AS t FROM books),
@@ -407,7 +394,7 @@ rare AS (SELECT edition_key, token FROM ranked WHERE r <= 2)"""
 
 @query("rarest_tokens", f"WITH {_RARE_SQL} SELECT edition_key, token FROM rare")
 def rarest_tokens(spark, sf_dir):
-    b, e = _books(spark, sf_dir), _editions(spark, sf_dir)
+    b, e = _prepared(spark, sf_dir)
     return match.rarest_tokens(b, e.join(match.exact_candidates(b, e), "edition_key", "left_anti"))
 
 
@@ -418,7 +405,7 @@ def rarest_tokens(spark, sf_dir):
     SELECT book_id, edition_key, round(i / (x + y - i)::DOUBLE, 6) AS title_score FROM s WHERE i / (x + y - i)::DOUBLE >= 0.35""",
 )
 def fuzzy_title_join(spark, sf_dir):
-    b, e = _books(spark, sf_dir), _editions(spark, sf_dir)
+    b, e = _prepared(spark, sf_dir)
     return match.fuzzy_candidates(b, e, match.exact_candidates(b, e)).select("book_id", "edition_key", F.round("title_score", 6).alias("title_score"))
 
 
@@ -443,7 +430,24 @@ def isbn_join(spark, sf_dir):
     return match.isbn_candidates(b, e).select("book_id", "edition_key", "isbn", "priority")
 
 
-@query("match_decisions")
+# No book has an ISBN here and no two works share a title, so works aren't folded and content can't confirm; what is left
+# of the decision is the order of candidates, the cut to 20, works for the first five, scores, ranks and thresholds.
+@query(
+    "match_decisions",
+    f"""WITH {_RARE_SQL}, met AS (SELECT DISTINCT b.book_id, r.edition_key FROM rare r JOIN (SELECT book_id, unnest(t) AS token FROM b) b USING (token)),
+    fuzzy AS (SELECT m.book_id, m.edition_key, len(list_intersect(b.t, e.t)) / (len(b.t) + len(e.t) - len(list_intersect(b.t, e.t)))::DOUBLE AS title_score FROM met m JOIN b USING (book_id) JOIN e USING (edition_key)),
+    c AS (SELECT book_id, edition_key, 1.0::DOUBLE AS title_score, 'title_exact' AS method FROM exact UNION ALL SELECT book_id, edition_key, title_score, 'title_fuzzy' FROM fuzzy WHERE title_score >= 0.35),
+    top AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY title_score DESC, edition_key) AS r FROM c),
+    w AS (SELECT top.*, part.p_name AS own, ed.p_name AS work, string_split(CASE WHEN ed.line_no % 2 = 0 THEN lower(ed.p_name || ' ' || replace(ed.p_brand, '#', ' ')) ELSE ed.p_name || ' illustrated' END, ' ') AS et FROM top JOIN part ON p_partkey = book_id JOIN ed USING (edition_key) WHERE r <= 20),
+    hit AS (SELECT *, string_split(own, ' ') AS head, greatest(len(list_intersect(et, string_split(own, ' '))) / len(et)::DOUBLE, CASE WHEN r <= 5 THEN len(list_intersect(string_split(work, ' '), string_split(own, ' '))) / len(string_split(work, ' '))::DOUBLE ELSE 0 END) AS title_hit FROM w),
+    scored AS (SELECT *, 0.6 * title_score + 0.3 * 1.0 + 0.1 * (0.75 * title_hit) AS score FROM hit),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, work ORDER BY score DESC, title_score DESC, edition_key) AS n FROM scored) x WHERE n = 1),
+    placed AS (SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS next_score FROM best WINDOW o AS (PARTITION BY book_id ORDER BY score DESC, title_score DESC, edition_key)),
+    d AS (SELECT *, coalesce(score - next_score, 1.0) AS gap FROM placed WHERE rank = 1),
+    v AS (SELECT *, CASE WHEN next_score + 1e-9 >= 0.70 AND gap + 1e-9 < 0.05 THEN 'ambiguous' WHEN score + 1e-9 >= 0.90 AND gap + 1e-9 >= 0.05 THEN 'confirmed' WHEN score + 1e-9 >= 0.75 AND gap + 1e-9 >= 0.05 THEN 'probable' WHEN score + 1e-9 >= 0.60 THEN 'needs_review' ELSE 'not_found' END AS status FROM d)
+    SELECT p_partkey AS book_id, coalesce(status, 'not_found') AS status, CASE status WHEN 'ambiguous' THEN 'ambiguous_work' WHEN 'needs_review' THEN 'low_confidence' ELSE '' END AS review_reason,
+      round(coalesce(CASE status WHEN 'confirmed' THEN greatest(score, 0.9) WHEN 'probable' THEN greatest(score, 0.75) ELSE score END, 0), 6) AS confidence, coalesce(method, '') AS method, edition_key, '/works/' || work AS work_key FROM part LEFT JOIN v ON book_id = p_partkey""",
+)
 def match_decisions(spark, sf_dir):
     b, e = _books(spark, sf_dir), _editions(spark, sf_dir)
     works = e.select("work_key").distinct().select("work_key", F.regexp_replace("work_key", "^/works/", "").alias("title"), F.array().cast("array<string>").alias("author_keys"))
@@ -828,9 +832,3 @@ def requested_books(spark, sf_dir):
 )
 def scan_counts(spark, sf_dir):
     return reports.scan_counts(table(spark, sf_dir, "part").select(F.when(F.col("p_size") <= 5, "bad").alias("error"), F.when(F.col("p_size") % 4 == 0, "min_size").alias("skip_reason")))
-
-
-@query("title_plausibility")
-def title_plausibility(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n")[0].alias("line"))
-    return lines.select("doc_id", titles.name_score("line").alias("name_score"), titles.title_score("line").alias("title_score"), titles.is_artifact_title("line").alias("artifact"), titles.is_prose_title("line").alias("prose"), titles.suspicious_signals("line").alias("signals"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkloom.functions import dates, identifiers, paths, text, titles
+from inkloom.operators import quality
 from inkloom.plans.catalog import query, table
 
 #: Titles and names as they come out of files; {} is a part's name.
@@ -39,12 +40,21 @@ def _samples(spark, sf_dir):
 # junk, credits and chapter headings as SQL says them; `f` is folded, `s` has single spaces
 _JUNK = r"(s = '' OR regexp_matches(s, '(?i)^nncl[\w\s./-]*$') OR regexp_matches(s, '(?i)^(isbn|issn)[\s:.-]') OR contains(lower(s), '://') OR contains(lower(s), 'www.') OR regexp_matches(s, '[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}') OR NOT regexp_matches(s, '[\p{L}\p{Nd}]'))"
 _BARE = "trim({0}, '\"''()[]{{}}.,;:!?')"
-_WORD = "list_bool_or(list_transform({1}, lambda w: regexp_matches({0}, '(^|[^\\p{{L}}\\p{{Nd}}])' || w || '($|[^\\p{{L}}\\p{{Nd}}])')))"
-_PART = "list_bool_or(list_transform({1}, lambda w: contains({0}, w)))"
 _LED = f"({_BARE.format('split_part(f, chr(32), 1)')} IN {_in(titles.ARTICLES)} AND len(string_split(f, ' ')) <= 3)"
+
+
+def _part(words: list[str]) -> str:
+    """Whether f holds one of the words; one pattern, compiled once."""
+    return f"regexp_matches(f, '{'|'.join(words)}')"
+
+
+def _word(words: list[str]) -> str:
+    return f"regexp_matches(f, '(^|[^\\p{{L}}\\p{{Nd}}])({'|'.join(words)})($|[^\\p{{L}}\\p{{Nd}}])')"
+
+
 _CREDIT = (
-    f"(f <> '' AND ({_PART.format('f', _list(titles.CREDIT_STEMS))} OR {_PART.format('f', _list(titles.CREDIT_PHRASES))} OR {_WORD.format('f', _list(titles.CREDIT_WORDS))} OR "
-    f"(({_PART.format('f', _list(titles.PUBLISHER_STEMS))} OR {_PART.format('f', _list(titles.PUBLISHER_PHRASES))} OR {_WORD.format('f', _list(titles.PUBLISHER_WORDS))}) AND NOT {_LED})))"
+    f"(f <> '' AND ({_part(titles.CREDIT_STEMS)} OR {_part(titles.CREDIT_PHRASES)} OR {_word(titles.CREDIT_WORDS)} OR "
+    f"(({_part(titles.PUBLISHER_STEMS)} OR {_part(titles.PUBLISHER_PHRASES)} OR {_word(titles.PUBLISHER_WORDS)}) AND NOT {_LED})))"
 )
 _CHAPTER = (
     r"(regexp_matches(s, '^(\d{1,2}|[IVXLCDM]+)\.?$') OR regexp_matches(f, '^(" + "|".join(titles.CHAPTER_OPENINGS) + r")\b') OR "
@@ -73,7 +83,7 @@ w AS (SELECT *, CASE WHEN s = '' THEN [] ELSE list_transform(string_split(s, ' '
 c AS (SELECT *, len(ws) AS n, len(parts) - 1 AS commas, trim(parts[1]) AS l, trim(coalesce(parts[2], '')) AS r FROM w),
 k AS (SELECT *, commas = 0 OR (commas = 1 AND l <> '' AND r <> '' AND len(string_split(l, ' ')) BETWEEN 1 AND 3 AND len(string_split(r, ' ')) BETWEEN 1 AND 4
         AND list_bool_and(list_transform(ws, lambda w: w = '' OR {_PARTICLE} OR {_INITIAL} OR {_UPPER})) AND NOT (len(string_split(r, ' ')) = 1 AND strip_accents(lower({_BARE.format("r")})) IN {_in(titles.ARTICLES)})) AS comma_ok,
-      s = '' OR length(s) > 60 OR {_JUNK} OR {_CREDIT} OR regexp_matches(s, '[:;!?/\\\\@&]') OR {_PART.format("f", _list(titles.ORGANIZATION_STEMS))} OR n > 6 OR NOT regexp_matches(s, '\\p{{L}}') OR regexp_matches(s, '\\p{{Nd}}') AS rejected FROM c),
+      s = '' OR length(s) > 60 OR {_JUNK} OR {_CREDIT} OR regexp_matches(s, '[:;!?/\\\\@&]') OR {_part(titles.ORGANIZATION_STEMS)} OR n > 6 OR NOT regexp_matches(s, '\\p{{L}}') OR regexp_matches(s, '\\p{{Nd}}') AS rejected FROM c),
 names AS (SELECT *, CASE WHEN rejected THEN -10 WHEN NOT comma_ok OR strip_accents(lower(coalesce(ws[1], ''))) IN {_in(titles.ARTICLES)} THEN -10
       ELSE CASE n WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END + CASE WHEN commas = 1 THEN 2 ELSE 0 END
         + CASE WHEN n = 1 THEN 0 ELSE list_sum(list_transform(ws, lambda w: CASE WHEN w = '' OR {_PARTICLE} THEN 0 WHEN {_INITIAL} OR {_UPPER} THEN 1 ELSE -3 END)) END END::INTEGER AS name_score FROM k)"""
@@ -261,3 +271,57 @@ def clean_forms(spark, sf_dir):
     odd = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\x01\tx\x7f").otherwise(""))
     title = F.concat("source", F.when(F.col("doc_id") % 2 == 0, ", The").otherwise(", of"))
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(text.clean_control(odd), 256).alias("cleaned"), text.article_to_front(title).alias("title"))
+
+
+# junk reasons, language and plain text, line by line
+
+_DOCS_AND_PAGES = "d AS (SELECT doc_id AS id, text, n_chars FROM documents WHERE text IS NOT NULL UNION ALL SELECT -page_id - 1, html, length(html) FROM pages)"
+_CUT_LINES = r"lines AS (SELECT id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: regexp_replace(regexp_replace(x, '^[\s\x0B]+', ''), '[\s\x0B]+$', '')), lambda x: x <> '')) AS line FROM d)"
+_JUNK_SQL = f"""WITH {_DOCS_AND_PAGES}, {_CUT_LINES},
+f AS (SELECT id, line, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS s, strip_accents(lower(trim(regexp_replace(line, '\\s+', ' ', 'g')))) AS f, regexp_matches(line, '^\\p{{Nd}}{{1,4}}$') AS page FROM lines),
+c AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE {_CREDIT} OR {_JUNK} OR page) AS credits, first(f) AS opening,
+      count(*) FILTER (WHERE starts_with(f, 'tartalom') OR ends_with(line, '.') OR contains(line, '...') OR regexp_matches(line, '(^|\\s)\\p{{Nd}}{{1,4}}$')) AS toc FROM f GROUP BY id),
+t AS (SELECT d.id, n_chars, coalesce(n, 0) AS n, coalesce(credits, 0) AS credits, opening, coalesce(toc, 0) AS toc, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS x, lower(substr(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1, 4096)) AS h, lower(substr(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1, 8192)) AS k, len(regexp_extract_all(text, '\\p{{L}}')) AS letters FROM d LEFT JOIN c USING (id)),
+m AS (SELECT *, length(h) - length(replace(replace(h, '<', ''), '>', '')) AS tags, (SELECT count(*) FROM (SELECT unnest(['http/1.', 'content-type:', 'content-length:', 'last-modified:', 'accept-ranges:']) AS w) q WHERE contains(k, w)) AS headers,
+      (length(k) - length(replace(k, 'http://', ''))) / 7 + (length(k) - length(replace(k, 'https://', ''))) / 8 AS urls, len(regexp_extract_all(k, '\\S+')) AS words FROM t)
+SELECT id, CASE WHEN x = '' THEN NULL WHEN starts_with(h, '<!doctype') OR starts_with(h, '<html') OR starts_with(h, '<head') OR starts_with(h, '<body') OR (tags > 40 AND tags * 100 > length(h)) THEN 'html'
+  WHEN contains(k, 'hts-cache') OR headers >= 2 OR (urls >= 5 AND urls * 20 > words) THEN 'http_cache' WHEN n_chars < 4096 AND letters < 32 THEN 'few_letters' WHEN n_chars < 4096 AND n > 0 AND credits * 100 >= n * 70 AND letters < 1000 THEN 'credits'
+  WHEN n_chars < 4096 AND n BETWEEN 1 AND 12 AND starts_with(opening, 'fulszoveg') THEN 'blurb' WHEN n_chars < 20480 AND n >= 5 AND toc * 100 >= n * 60 THEN 'contents' END AS reason FROM m"""
+
+
+@query("junk_reasons", _JUNK_SQL)
+def junk_reasons(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "n_chars")
+    pages = table(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("id"), F.col("html").alias("text"), F.length("html").cast("long").alias("n_chars"))
+    return docs.unionByName(pages).select("id", quality.junk_reason("text", "n_chars").alias("reason"))
+
+
+_SHARES = ", ".join(f"{{'share': len(list_filter(w, lambda x: x IN {_in(words.split())})) / greatest(len(w), 1)::DOUBLE, 'code': '{code}'}}" for code, words in quality.FREQUENT.items())
+
+
+@query(
+    "detected_language",
+    f"""WITH d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), {_CUT_LINES},
+    o AS (SELECT id, line, row_number() OVER (PARTITION BY id) AS o FROM lines),
+    p AS (SELECT id, substr(string_agg(line, ' ' ORDER BY o), 1, 2000) AS s FROM o WHERE NOT regexp_matches(line, '[{{}};]\\s*$|^\\s*(#|//|<)|[=<>]{{2}}') AND len(regexp_extract_all(line, '\\p{{L}}')) * 2 >= length(line) GROUP BY id),
+    w AS (SELECT doc_id, lang, coalesce(s, '') AS s, regexp_split_to_array(lower(coalesce(s, '')), '[^\\p{{L}}]+') AS w FROM documents LEFT JOIN p ON p.id = doc_id WHERE text IS NOT NULL),
+    r AS (SELECT doc_id, lang, len(regexp_extract_all(s, '\\p{{L}}')) >= 40 AS enough, list_reverse_sort([{_SHARES}]) AS r FROM w),
+    c AS (SELECT doc_id, lang, r[1].code AS found, CASE WHEN enough AND r[1].share > 0 THEN r[1].share / (r[1].share + r[2].share) ELSE 0 END AS confidence FROM r),
+    e AS (SELECT *, CASE WHEN confidence > 0 THEN found ELSE '' END AS code FROM c)
+    SELECT doc_id, code, round(confidence, 6) AS confidence, CASE WHEN confidence < 0.5 OR code = '' OR lower(split_part(lang, '-', 1)) = code THEN coalesce(lang, '') WHEN confidence >= 0.75 THEN code ELSE coalesce(lang, '') END AS languages FROM e""",
+)
+def detected_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", F.array("lang").alias("declared"))
+    found = quality.detect_languages(docs)
+    return found.select("doc_id", "code", F.round("confidence", 6).alias("confidence"), F.array_join(dates.reconcile_language("declared", "code", "confidence"), ",").alias("languages"))
+
+
+@query(
+    "plain_text_of_pages",
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head\s*>', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(t, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g') AS t FROM a),
+    c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS t FROM b)
+    SELECT page_id, sha256(trim(regexp_replace(t, '[\s\x0B]+', ' ', 'g'))) AS text_sha256 FROM c WHERE t IS NOT NULL""",
+)
+def plain_text_of_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.sha2(text.plain_text("html"), 256).alias("text_sha256"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import re
 import tarfile
 import unicodedata
 import zipfile
@@ -13,6 +14,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkloom.functions.text import col
 
@@ -110,6 +112,36 @@ def _name_quality(name: str) -> int:
     return sum(NAME_WEIGHTS[of(c)] for c in name)
 
 
+# Letters of a language that old paths are mostly in, and what characters add to a repaired name.
+ACCENTED = "áéíóöőúüűÁÉÍÓÖŐÚÜŰ"
+REPAIR_WEIGHTS = {"unreadable": -50, "control": -50, "accented": 4, "letter": 2, "digit": 1}
+
+
+def repair_path(raw: bytes) -> str:
+    """A path whose parts between ``/``, ``\\`` and ``!`` may each be in an old code page; UTF-8 parts stay."""
+
+    def quality(name: str) -> int:
+        kinds = ("unreadable" if c == "\ufffd" else "control" if unicodedata.category(c) == "Cc" else "accented" if c in ACCENTED else "letter" if c.isalpha() else "digit" if unicodedata.category(c) == "Nd" else "" for c in name)
+        return sum(REPAIR_WEIGHTS.get(k, 0) for k in kinds)
+
+    def repair(part: bytes) -> str:
+        try:
+            return part.decode("utf-8")
+        except UnicodeDecodeError:
+            return max((part.decode(page, "replace") for page in CODE_PAGES), key=quality)
+
+    return "".join(repair(p) if n % 2 == 0 else p.decode() for n, p in enumerate(re.split(rb"([/\\!])", raw)))
+
+
+def repaired_path(raw) -> Column:
+    """The repaired paths of a column of bytes; null stays null."""
+
+    def repair(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else repair_path(bytes(x)))
+
+    return F.pandas_udf(repair, StringType())(col(raw))
+
+
 def unpack(path: str, fmt: str, data: bytes, depth: int, most: int):
     """(path, format, content, error) of what is in an archive, archives in it too; the archive itself is depth 0, and
     one at ``most`` is not opened. Members of unknown formats are left out; what can't be read is a row with its error."""
