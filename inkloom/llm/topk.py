@@ -50,6 +50,7 @@ class Block:
         impact = np.concatenate([self.rows - low, high - self.rows], axis=1)
         self.terms, self.most, self.largest = impact.shape[1], int(impact.max()), float(np.abs(self.rows).max())
         self.step = max(1, -(-(self.most + 1) // LEVELS))
+        self.level = (impact // self.step).astype(np.int8)
         # postings (row, impact) of each level and term, from the highest level; impact 0 adds nothing and isn't held
         row, term = np.nonzero(impact)
         impact = impact[row, term]
@@ -75,9 +76,7 @@ class Block:
         n = len(self.ids)
         ids_here = len(self.start)
         k_here = min(k, ids_here)
-        # for each row and query: what it has of the score, and the weight of the terms that it has it from
-        part, seen = np.zeros((n, len(qids)), kind), np.zeros((n, len(qids)), kind)
-        total = w.sum(0)
+        part = np.zeros((n, len(qids)), kind)  # for each row and query: what is seen of the score
         alive = np.arange(len(qids))
         for level in range(LEVELS - 1, -1, -1):
             for term in range(self.terms):
@@ -86,13 +85,14 @@ class Block:
                 if a < b and w[term].any():
                     rows = self.post_row[a:b]  # each once
                     part[rows] += self.post_impact[a:b, None].astype(kind) * w[term]
-                    seen[rows] += w[term]
             if level > LEVELS // 2:
                 continue
             low = np.where(own[:, alive], -1, part)
             low = low if ids_here == n else np.maximum.reduceat(low, self.start, axis=0)
             kth = np.partition(low, ids_here - k_here, axis=0)[ids_here - k_here]
-            bound = part + (total - seen) * (level * self.step - 1 if level else 0)
+            # each term that isn't seen in a row adds its weight times the next impact at most
+            unseen = (self.level < level).astype(kind) @ w
+            bound = part + unseen * (level * self.step - 1) if level else part
             possible = (bound >= kth) & ~own[:, alive]
             few = possible.sum(0) <= (4 * k if level else n)
             for i in np.flatnonzero(few):
@@ -103,8 +103,8 @@ class Block:
             rest = ~few
             if not rest.any():
                 return
-            alive, total = alive[rest], total[rest]
-            w, part, seen = (np.ascontiguousarray(x[:, rest]) for x in (w, part, seen))
+            alive = alive[rest]
+            w, part = (np.ascontiguousarray(x[:, rest]) for x in (w, part))
 
     def _plain(self, qids, queries, k):
         """Sums too large for floating point or a long: whole numbers of any size; an error where a score found is."""
