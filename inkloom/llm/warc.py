@@ -25,6 +25,7 @@ from inkloom.session import Scratch
 
 VERSION = b"WARC/1.1"
 DUP_BROADCAST = 500_000
+SALTS = 16
 FLUSH = 4 << 20
 
 
@@ -88,9 +89,15 @@ def decide(pages: DataFrame, dup_bytes: int, scratch: Scratch) -> DataFrame:
     pages = pages.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1("html")})
     again = pages.where(F.col("payload_bytes") >= dup_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keep"), F.count("*").alias("c")).where("c > 1").drop("c")
     again = scratch.save(again, "again")
-    again = F.broadcast(again) if again.count() <= DUP_BROADCAST else again
-    joined = pages.join(again, ["payload_digest", "payload_bytes"], "left")
-    refers = F.when((F.col("payload_bytes") >= dup_bytes) & ~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep"))
+    if again.count() <= DUP_BROADCAST:
+        joined = pages.join(F.broadcast(again), ["payload_digest", "payload_bytes"], "left")
+    else:  # decided without payloads, a very common one in SALTS parts; payloads then go by page and digest
+        salted = again.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        keys = pages.select(F.col("page_id").alias("p"), "payload_digest", "payload_bytes").withColumn("salt", F.pmod(F.xxhash64("p"), F.lit(SALTS)).cast("int"))
+        later = keys.join(salted, ["payload_digest", "payload_bytes", "salt"]).where(~F.col("p").eqNullSafe(F.col("keep")))
+        later = later.select("p", F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "keep").distinct()
+        joined = pages.join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
+    refers = F.when((F.col("payload_bytes") >= dup_bytes) & F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep"))
     return joined.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
 

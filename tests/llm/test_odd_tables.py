@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkloom.llm import ann, langid, lines, mixing, names, repeats, topk, toxicity
+from inkloom.llm import ann, langid, lines, mixing, names, repeats, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = ["rate", "size", "parts", "cdf", "_source", "_u", "_n", "_run", "_l", "_key", "_gone", "_lines", "__key", "key", "at", "tkey", "_cuts", "ha", "salt", "copy_no_", "slice", "tokens", "n", "a", "b"]
@@ -220,3 +220,13 @@ def test_rare_languages_and_long_texts_are_learned(spark):
     rows = [(i, "the tree and the river walk " * 3, "en", "s", 0) for i in range(400)] + [(1000 + i, "ø æ å hygge rød " * 3000, "da", "s", 0) for i in range(3)]
     model = langid.train(spark.createDataFrame(rows, DOCS), train_rows=50)
     assert model.langs == ["da", "en"]
+
+
+def test_revisits_are_the_same_without_a_broadcast(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i}", "x" * 1200 if i % 3 else f"{i}" * 700) for i in range(60)] + [(None, "u", "x" * 1200), (None, "u", "y" * 1500), (5, "u", "x" * 1200), (58, "u", "x" * 1200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for k, most in enumerate((500_000, 0)):
+        monkeypatch.setattr(warc, "DUP_BROADCAST", most)
+        warc.write_warc(pages, f"file://{tmp_path}/a{k}")
+    one, two = (sorted(map(repr, warc.read_warc(spark, f"file://{tmp_path}/a{k}").collect())) for k in range(2))
+    assert one == two and sum("revisit" in r for r in one) > 35
