@@ -297,7 +297,7 @@ def _within(rows: DataFrame, scratch: Scratch, rounds: int, group_rows: int, few
     for r in range(rounds):
         zs = scratch.save(_against_core(rows, group_rows, small), "z")
         least = zs.groupBy("grp").agg(F.min(F.struct("a", "doc_id")).alias("x")).select("grp", F.col("x.a").alias("a0"), F.col("x.doc_id").alias("doc0"))
-        zs = scratch.save(zs.join(small(least), "grp").withColumn("near", F.col("a") + F.col("a0") <= 0), "near")
+        zs = zs.join(small(least), "grp").withColumn("near", F.col("a") + F.col("a0") <= 0)
         links.append(zs.where("near").select(F.col("doc_id").alias("a"), F.col("doc0").alias("b")))
         far = zs.where("NOT near")
         if far.isEmpty():
