@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.text import containment, fold_all, sanitize_query
+from inkloom.session import Scratch
 
 
 def trigrams(c) -> Column:
@@ -62,9 +63,9 @@ def containing(docs: DataFrame, items: DataFrame, least: float = 0.6) -> DataFra
     these are looked up; the pairs found are then compared in whole.
     """
     asked = items.where(F.size("tokens") > 0).select("item_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    held = docs.select("doc_id", F.explode("tokens").alias("token"))
-    wanted = asked.select("token").distinct()
-    counts = held.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    held = docs.select("doc_id", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    held = Scratch(docs.sparkSession, "containing").save(held, "held")
+    counts = held.groupBy("token").agg(F.count("*").alias("df"))
     rare = asked.join(counts, "token", "left").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
     rare = rare.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 0").select("item_id", "token")
     met = held.join(rare, "token").select("item_id", "doc_id").distinct()

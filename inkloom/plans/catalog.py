@@ -34,7 +34,11 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts of a file with fewer parts than half the cores are dealt out, since what is done with them costs
+    more than the shuffle; a large table has parts enough and isn't touched."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and 2 * rows.rdd.getNumPartitions() <= cores else rows
 
 
 # Exact duplicates and canonical files
