@@ -247,8 +247,10 @@ def _prefix(rare: str, total, n):
     return F.filter(marked, lambda x, i: (i == 0) | (x["mark"] != F.get(shown, i - 1)))
 
 
-def _visits(placed: DataFrame, scratch: Scratch, slice_tokens: int) -> DataFrame:
-    """rid and grp: which groups, beside its own, each set has to be compared with."""
+def _visits(placed: DataFrame, scratch: Scratch, slice_tokens: int, n_sets: int) -> DataFrame:
+    """rid and grp: which groups, beside its own, each set has to be compared with; n_sets, how many sets there are,
+    bounds what has a row for each group and is broadcast."""
+    small = F.broadcast if n_sets <= BROADCAST_ROWS else lambda df: df
     cells = placed.select("rid", "n", "grp", F.explode("tokens").alias("token"))
     held_by = cells.groupBy("grp", "token").agg(F.lit(1).alias("one")).groupBy("token")
     across = held_by.agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("grp")).alias("mark")).where("df > 1").select("token", "df", F.xxhash64("df", "mark").alias("mark"))
@@ -264,8 +266,8 @@ def _visits(placed: DataFrame, scratch: Scratch, slice_tokens: int) -> DataFrame
     met = asked.join(columns, "mark").where(fits).select("rid", "grp").distinct()
     met = scratch.save(met, "met")
 
-    facts = placed.join(met.select("grp").distinct(), "grp").groupBy("grp").agg(F.min("n").alias("least"), F.ceil(F.sum("n") / slice_tokens).alias("slices"))
-    spread = placed.join(facts, "grp").select("grp", "least", "slices", F.explode("tokens").alias("token"))
+    facts = placed.join(small(met.select("grp").distinct()), "grp").groupBy("grp").agg(F.min("n").alias("least"), F.ceil(F.sum("n") / slice_tokens).alias("slices"))
+    spread = placed.join(small(facts), "grp").select("grp", "least", "slices", F.explode("tokens").alias("token"))
     unions = spread.groupBy("grp", "least", F.pmod(F.xxhash64("token"), F.col("slices")).alias("slice")).agg(F.collect_set("token").alias("union"))
     overlap = met.join(placed.select("rid", "n", "tokens"), "rid").join(unions, "grp").select("rid", "grp", "n", "least", _common("tokens", "union").alias("i"))
     total = overlap.groupBy("rid", "grp", "n", "least").agg(F.sum("i").alias("i"))
@@ -289,10 +291,10 @@ def _against_core(rows: DataFrame, group_rows: int, small) -> DataFrame:
     return out.withColumn("a", (DEN + NUM) * F.size("z") - F.col("n"))
 
 
-def _within(rows: DataFrame, scratch: Scratch, rounds: int, group_rows: int, few: bool) -> list[DataFrame]:
+def _within(rows: DataFrame, scratch: Scratch, rounds: int, group_rows: int, n_sets: int) -> list[DataFrame]:
     """Links (a, b) of doc_ids that join all linked sets of each group; rows have grp, home, rid, doc_id, n, tokens;
-    few says that one row for each group can be broadcast."""
-    small = F.broadcast if few else lambda df: df
+    n_sets, how many sets there are, bounds what has a row for each group and is broadcast."""
+    small = F.broadcast if n_sets <= BROADCAST_ROWS else lambda df: df
     links = []
     for r in range(rounds):
         zs = scratch.save(_against_core(rows, group_rows, small), "z")
@@ -303,7 +305,7 @@ def _within(rows: DataFrame, scratch: Scratch, rounds: int, group_rows: int, few
         if far.isEmpty():
             break
         # what a pair that isn't near must share, by what is known of one side
-        some = zs.join(far.select("grp").distinct(), "grp", "left_semi").where(F.size("z") > 0)
+        some = zs.join(small(far.select("grp").distinct()), "grp", "left_semi").where(F.size("z") > 0)
         cells = some.select("grp", "rid", F.explode("z").alias("token"))
         held = cells.groupBy("grp", "token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("rid")).alias("mark")).where("df > 1").select("grp", "token", "df", F.xxhash64("df", "mark").alias("mark"))
         rare = cells.join(held, ["grp", "token"]).groupBy("grp", "rid").agg(F.sort_array(F.collect_list(F.struct("df", "mark"))).alias("rare"))
@@ -314,7 +316,7 @@ def _within(rows: DataFrame, scratch: Scratch, rounds: int, group_rows: int, few
         slim = slim.withColumn("class", F.floor(F.log(F.col("a") - F.col("a0") + 2 * (DEN + NUM)) / math.log(CLASS_RATIO)).cast("int"))
         slim = scratch.save(slim.drop("rare"), "slim")
         classes = slim.groupBy("grp", "class").agg(F.min("a").alias("least")).groupBy("grp").agg(F.collect_list(F.struct("class", "least")).alias("classes"))
-        slim = slim.join(classes, "grp")
+        slim = slim.join(F.broadcast(classes) if n_sets * 20 <= BROADCAST_ROWS else classes, "grp")
         can = F.expr(f"filter(classes, c -> {2 * (DEN + NUM)} * left >= a + c.least)['class']")
         asked = slim.where("NOT near").select("grp", "rid", "home", "n", "a", F.col("class").alias("of"), "classes", F.inline("asks"))
         asked = asked.select("grp", "rid", "home", "n", "a", "mark", "left", "of", F.explode(can).alias("to"))
@@ -361,8 +363,8 @@ def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int
     left = scratch.save(classes.join(shared, "fa").where(DEN * F.col("shared") >= NUM * F.col("n")).select("rep", "n"), "left")
 
     found = left.select(F.col("rep").alias("doc_id")).distinct()
-    few = left.count() <= BROADCAST_ROWS
-    found = F.broadcast(found) if few else found
+    n_sets = left.count()
+    found = F.broadcast(found) if n_sets <= BROADCAST_ROWS else found
     prints = docs.join(found, "doc_id", "left_semi")
     sets = scratch.save(
         prints.mapInArrow(sets_and_bands(k, block, bands, band_rows), "doc_id long, tokens array<long>, bands array<long>")
@@ -384,10 +386,10 @@ def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int
     group = like.join(again, "lead", "left").select("rid", F.coalesce("above", "lead").alias("grp"))
     placed = scratch.save(sets.drop("bands").join(group, "rid", "left").withColumn("grp", F.coalesce("grp", "rid")), "placed")
 
-    visits = _visits(placed, scratch, slice_tokens)
+    visits = _visits(placed, scratch, slice_tokens, n_sets)
     home = placed.select("grp", F.lit(True).alias("home"), "rid", "doc_id", "n", "tokens")
     visiting = visits.join(placed.drop("grp"), "rid").select("grp", F.lit(False).alias("home"), "rid", "doc_id", "n", "tokens")
-    links = _within(home.unionByName(visiting), scratch, rounds, group_rows, few)
+    links = _within(home.unionByName(visiting), scratch, rounds, group_rows, n_sets)
     # a doc_id with several texts is one node: the classes of its texts belong together
     several = named.groupBy("doc_id").agg(F.min(F.struct("fa", "fb")).alias("lo"), F.max(F.struct("fa", "fb")).alias("hi")).where("lo <> hi").select("doc_id")
     links.append(named.join(several, "doc_id").join(classes.drop("n"), ["fa", "fb"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
