@@ -112,25 +112,37 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_buckets(rows: DataFrame, path: str, bucket: str = "status") -> None:
+    """Rows as JSON lines, a folder for each value of a column."""
+    rows.write.mode("overwrite").partitionBy(bucket).json(path)
+
+
 def write_json_array(rows: DataFrame, path: str, when_empty: bool = True) -> bool:
-    """One indented JSON array on the driver's machine, streamed row by row; whether a file was written."""
+    """One indented JSON array in a file of any store that Spark writes to, streamed row by row through the driver;
+    whether a file was written."""
     import json
 
-    first = True
-    rows_json = rows.toJSON().toLocalIterator() if hasattr(rows, "toJSON") else iter(())
+    spark = rows.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = None
-    for line in rows_json:
+
+    def put(text: str) -> None:
+        nonlocal out
         if out is None:
-            out = open(path, "w", encoding="utf-8")
-            out.write("[\n")
-        out.write(("" if first else ",\n") + "\n".join("  " + x for x in json.dumps(json.loads(line), indent=2, ensure_ascii=False).split("\n")))
-        first = False
-    if out is None:
-        if not when_empty:
-            return False
-        out = open(path, "w", encoding="utf-8")
-        out.write("[]\n")
-    else:
-        out.write("\n]\n")
-    out.close()
-    return True
+            out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(text.encode()))
+
+    try:
+        first = True
+        for (line,) in rows.select(F.to_json(F.struct("*"))).toLocalIterator():
+            item = "\n".join("  " + x for x in json.dumps(json.loads(line), indent=2, ensure_ascii=False).split("\n"))
+            put(("[\n" if first else ",\n") + item)
+            first = False
+        if not first:
+            put("\n]\n")
+        elif when_empty:
+            put("[]\n")
+    finally:
+        if out is not None:
+            out.close()
+    return out is not None

@@ -163,3 +163,17 @@ def test_download_is_taken_up_again(server, tmp_path, monkeypatch, ranges):
     assert open(path, "rb").read() == Server.data and seen[-1] == (1_280_000, 1_280_000) and not os.path.exists(f"{path}.part")
     monkeypatch.setattr(Server, "cut", 1)  # nothing is fetched again
     assert download.fetch(server, str(tmp_path)) == path
+
+
+def test_json_arrays(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([(1, "é", None), (2, 'a"b', ["x"])], "id long, name string, list array<string>").orderBy("id")
+    assert reports.write_json_array(rows, f"file://{tmp_path}/a.json")
+    assert json.loads((tmp_path / "a.json").read_text()) == [{"id": 1, "name": "é"}, {"id": 2, "name": 'a"b', "list": ["x"]}]
+    assert reports.write_json_array(rows.limit(0), f"file://{tmp_path}/b.json") and (tmp_path / "b.json").read_text() == "[]\n"
+    assert not reports.write_json_array(rows.limit(0), f"file://{tmp_path}/c.json", when_empty=False) and not (tmp_path / "c.json").exists()
+    matches = spark.createDataFrame([(1, "ambiguous", "x"), (2, "no_data", ""), (3, "confirmed", "")], "book_id long, status string, review_reason string")
+    found = reports.review(matches, spark.createDataFrame([(1, "possible_duplicate")], "book_id long, reason string"))
+    reports.write_buckets(found, f"file://{tmp_path}/review")
+    assert {p.name for p in (tmp_path / "review").iterdir() if p.is_dir()} == {"status=ambiguous", "status=no_data"}
