@@ -460,6 +460,18 @@ def match_decisions(spark, sf_dir):
     return out.select("book_id", "status", "review_reason", F.round("confidence", 6).alias("confidence"), "method", "edition_key", "work_key")
 
 
+@query(
+    "top_candidates",
+    f"""WITH {_RARE_SQL}, met AS (SELECT DISTINCT b.book_id, r.edition_key FROM rare r JOIN (SELECT book_id, unnest(t) AS token FROM b) b USING (token)),
+    fuzzy AS (SELECT m.book_id, m.edition_key, len(list_intersect(b.t, e.t)) / (len(b.t) + len(e.t) - len(list_intersect(b.t, e.t)))::DOUBLE AS title_score FROM met m JOIN b USING (book_id) JOIN e USING (edition_key)),
+    c AS (SELECT book_id, edition_key, 1.0::DOUBLE AS title_score, 'title_exact' AS method FROM exact UNION ALL SELECT book_id, edition_key, title_score, 'title_fuzzy' FROM fuzzy WHERE title_score >= 0.35),
+    top AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY title_score DESC, edition_key) AS r FROM c)
+    SELECT book_id, edition_key, method AS methods, round(0.6 * title_score, 6) AS score FROM top WHERE r <= 20""",
+)
+def top_candidates(spark, sf_dir):
+    return match.candidates(*_prepared(spark, sf_dir)).select("book_id", "edition_key", F.array_join("methods", "+").alias("methods"), F.round("score", 6).alias("score"))
+
+
 # Conflicts
 
 

@@ -273,6 +273,17 @@ def clean_forms(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(text.clean_control(odd), 256).alias("cleaned"), text.article_to_front(title).alias("title"))
 
 
+@query(
+    "match_tokens",
+    f"""WITH {_SAMPLES_SQL}, w AS (SELECT p_partkey, list_filter(string_split(regexp_replace(f, '[\\s.,;:!?''"()\\[\\]{{}}_–—/&+-]+', ' ', 'g'), ' '), lambda x: length(x) > 2 AND x NOT IN {_in(text.NAME_PARTICLES)}) AS w FROM f),
+    i AS (SELECT p_partkey, unnest(w) AS t, generate_subscripts(w, 1) AS o FROM w), d AS (SELECT p_partkey, t, min(o) AS o FROM i GROUP BY 1, 2), g AS (SELECT p_partkey, string_agg(t, ' ' ORDER BY o) AS tokens, count(*) AS n FROM d GROUP BY 1)
+    SELECT x.p_partkey, coalesce(tokens, '') AS tokens, coalesce(n, 0)::INTEGER AS hashes FROM x LEFT JOIN g USING (p_partkey)""",
+)
+def match_tokens(spark, sf_dir):
+    tokens = text.match_tokens("s")
+    return _samples(spark, sf_dir).select("p_partkey", F.array_join(tokens, " ").alias("tokens"), F.size(text.token_hashes(tokens)).alias("hashes"))
+
+
 # junk reasons, language and plain text, line by line
 
 _DOCS_AND_PAGES = "d AS (SELECT doc_id AS id, text, n_chars FROM documents WHERE text IS NOT NULL UNION ALL SELECT -page_id - 1, html, length(html) FROM pages)"
