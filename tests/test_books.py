@@ -177,3 +177,21 @@ def test_json_arrays(spark, tmp_path):
     found = reports.review(matches, spark.createDataFrame([(1, "possible_duplicate")], "book_id long, reason string"))
     reports.write_buckets(found, f"file://{tmp_path}/review")
     assert {p.name for p in (tmp_path / "review").iterdir() if p.is_dir()} == {"status=ambiguous", "status=no_data"}
+
+
+def test_scan_path_of_a_file(spark):
+    from inkloom.operators.scan import scanned
+
+    body = b"It began at night by the river and went on for a long while. " * 400
+    rows = [
+        ("a.txt", "txt", body, None), ("b.txt", "txt", body.replace(b"  ", b" ").replace(b" by", b"\r\n by"), None), ("small.txt", "txt", b"tiny", None), ("off.pdf", "pdf", b"%PDF-" * 9000, None), ("bad.rtf", "rtf", b"x" * 20000, None),
+        ("page.txt", "txt", b"<html><body>" + body, None), ("odd.txt", "txt", b"\x01\x02" * 9000, None), ("gone.txt", "txt", None, "encrypted"), ("e.epub", "epub", b"PK", None), ("blank.txt", "txt", b" " * 20000, None),
+    ]
+    files_ = spark.createDataFrame([(p, f, None if c is None else len(c), None if c is None else bytearray(c), e) for p, f, c, e in rows], "path string, format string, length long, content binary, error string")
+    got = {r["path"]: r for r in scanned(files_, enabled=["txt", "rtf", "epub"]).collect()}
+    assert {p: r["skip_reason"] for p, r in got.items() if r["skip_reason"]} == {"small.txt": "min_size", "off.pdf": "format_disabled", "page.txt": "html", "odd.txt": "binary"}
+    assert {p for p, r in got.items() if r["error"]} == {"bad.rtf", "gone.txt", "e.epub"} and len(got) == 10
+    assert got["a.txt"]["content_hash"] == got["b.txt"]["content_hash"] and got["a.txt"]["content_hash"] and "river" in got["a.txt"]["head_tokens"]
+    assert [got[p]["content_hash"] for p in ("blank.txt", "small.txt", "bad.rtf")] == [None] * 3
+    assert reports.scan_counts(spark.createDataFrame([(r["error"], r["skip_reason"]) for r in got.values()], "error string, skip_reason string")).first().asDict() == {"found": 10, "parsed": 3, "failed": 3, "skipped": 4}
+    assert scanned(files_.limit(0)).count() == 0
