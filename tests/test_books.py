@@ -195,3 +195,19 @@ def test_scan_path_of_a_file(spark):
     assert [got[p]["content_hash"] for p in ("blank.txt", "small.txt", "bad.rtf")] == [None] * 3
     assert reports.scan_counts(spark.createDataFrame([(r["error"], r["skip_reason"]) for r in got.values()], "error string, skip_reason string")).first().asDict() == {"found": 10, "parsed": 3, "failed": 3, "skipped": 4}
     assert scanned(files_.limit(0)).count() == 0
+
+
+def test_progress(spark):
+    from inkloom import progress
+
+    seen = []
+    with progress.reported(spark, lambda done, total: seen.append((done, total)), every=0.05):
+        spark.range(8).repartition(8).mapInPandas(lambda batches: (slow(b) for b in batches), "id long").count()
+    assert seen and all(0 <= done <= total for done, total in seen)
+
+
+def slow(batch):
+    import time
+
+    time.sleep(0.3)
+    return batch
