@@ -257,7 +257,7 @@ def _visits(placed: DataFrame, scratch: Scratch, slice_tokens: int, n_sets: int)
     rare = cells.join(across, "token").groupBy("rid", "n", "grp").agg(F.sort_array(F.collect_list(F.struct("df", "mark"))).alias("rare"))
     rare = rare.where(DEN * F.size("rare") >= NUM * F.col("n"))
     n = F.col("n")
-    asks, kept = (_prefix("rare", n, n - F.ceil(n * part) + 1) for part in (NUM / DEN, 2 * NUM / (NUM + DEN)))
+    asks, kept = (_prefix("rare", n, n - F.ceil(n * a / b) + 1) for a, b in ((NUM, DEN), (2 * NUM, NUM + DEN)))
     rare = scratch.save(rare.select("rid", "n", "grp", asks.alias("asks"), kept.alias("kept")), "rare")
     asked = rare.select("rid", "n", F.col("grp").alias("home"), F.inline("asks"))
     columns = rare.select("grp", "n", F.inline("kept")).groupBy("mark", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("left2"))
