@@ -269,7 +269,7 @@ def _visits(placed: DataFrame, scratch: Scratch, slice_tokens: int, n_sets: int)
     facts = placed.join(small(met.select("grp").distinct()), "grp").groupBy("grp").agg(F.min("n").alias("least"), F.ceil(F.sum("n") / slice_tokens).alias("slices"))
     spread = placed.join(small(facts), "grp").select("grp", "least", "slices", F.explode("tokens").alias("token"))
     unions = spread.groupBy("grp", "least", F.pmod(F.xxhash64("token"), F.col("slices")).alias("slice")).agg(F.collect_set("token").alias("union"))
-    overlap = met.join(placed.select("rid", "n", "tokens"), "rid").join(unions, "grp").select("rid", "grp", "n", "least", _common("tokens", "union").alias("i"))
+    overlap = met.join(placed.select("rid", "n", "tokens"), "rid").join(unions.hint("merge"), "grp").select("rid", "grp", "n", "least", _common("tokens", "union").alias("i"))
     total = overlap.groupBy("rid", "grp", "n", "least").agg(F.sum("i").alias("i"))
     opened = total.where(f"{DEN} * i >= {NUM} * n AND {DEN + NUM} * i >= {NUM} * (n + least)").select("rid", "grp")
     return scratch.save(opened, "opened")
@@ -302,7 +302,8 @@ def _within(rows: DataFrame, scratch: Scratch, rounds: int, group_rows: int, n_s
         zs = zs.join(small(least), "grp").withColumn("near", F.col("a") + F.col("a0") <= 0)
         links.append(zs.where("near").select(F.col("doc_id").alias("a"), F.col("doc0").alias("b")))
         far = zs.where("NOT near")
-        if far.isEmpty():
+        n_far, n_next = zs.selectExpr("count_if(NOT near)", "count_if(NOT near AND a0 <= 0)").first()
+        if not n_far:
             break
         # what a pair that isn't near must share, by what is known of one side
         some = zs.join(small(far.select("grp").distinct()), "grp", "left_semi").where(F.size("z") > 0)
@@ -328,16 +329,16 @@ def _within(rows: DataFrame, scratch: Scratch, rounds: int, group_rows: int, n_s
         pairs = scratch.save(asked.join(shown, ["grp", "mark", "of", "to"]).where(fits).select("grp", "rid", "other").distinct(), "pairs")
         one = zs.select("grp", "rid", "doc_id", "n", "z")
         two = zs.select("grp", F.col("rid").alias("other"), F.col("doc_id").alias("doc2"), F.col("n").alias("m"), F.col("z").alias("z2"))
-        both = pairs.join(one, ["grp", "rid"]).join(two, ["grp", "other"])
+        both = pairs.join(one, ["grp", "rid"]).join(two.hint("merge"), ["grp", "other"])  # no rows with sets are broadcast
         linked = both.where(f"{DEN + NUM} * (size(z) + size(z2) - 2 * size(array_intersect(z, z2))) <= n + m")
         links.append(scratch.save(linked.select(F.col("doc_id").alias("a"), F.col("doc2").alias("b")), "linked"))
-        rows = far.where("a0 <= 0").select("grp", "home", "rid", "doc_id", "n", "tokens")
-        if rows.isEmpty():
+        if not n_next:
             break
+        rows = far.where("a0 <= 0").select("grp", "home", "rid", "doc_id", "n", "tokens")
     return links
 
 
-def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int = 3, block: int = 3 << 20, bucket_shingles: int = 1_500_000, class_part: int = 25_000, slice_tokens: int = 20_000, rounds: int = 4, group_rows: int = 2000) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int = 3, block: int = 2 << 20, bucket_shingles: int = 1_000_000, class_part: int = 25_000, slice_tokens: int = 20_000, rounds: int = 4, group_rows: int = 2000) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text; other columns are not read).
 
     Words are lower-cased (A-Z); a set is the distinct k-word shingles of the whole text, with fewer words the whole
@@ -380,7 +381,7 @@ def ngram_components(docs: DataFrame, k: int = 5, bands: int = 8, band_rows: int
     lead = band.groupBy("b", "key").agg(F.min("rid").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
     pairs = band.join(lead, ["b", "key"]).where("rid <> lead").select("rid", "lead").distinct()
     leads = sets.select(F.col("rid").alias("lead"), F.col("n").alias("m"), F.col("tokens").alias("other"))
-    like = pairs.join(sets.select("rid", "n", "tokens"), "rid").join(leads, "lead").where("2 * least(n, m) >= greatest(n, m)").where(3 * _common("tokens", "other") >= F.col("n") + F.col("m"))
+    like = pairs.join(sets.select("rid", "n", "tokens"), "rid").join(leads.hint("merge"), "lead").where("2 * least(n, m) >= greatest(n, m)").where(3 * _common("tokens", "other") >= F.col("n") + F.col("m"))
     like = scratch.save(like.groupBy("rid").agg(F.min("lead").alias("lead")), "like")
     again = like.select(F.col("rid").alias("lead"), F.col("lead").alias("above"))
     group = like.join(again, "lead", "left").select("rid", F.coalesce("above", "lead").alias("grp"))
