@@ -287,10 +287,10 @@ def match_tokens(spark, sf_dir):
 # junk reasons, language and plain text, line by line
 
 _DOCS_AND_PAGES = "d AS (SELECT doc_id AS id, text, n_chars FROM documents WHERE text IS NOT NULL UNION ALL SELECT -page_id - 1, html, length(html) FROM pages)"
-_CUT_LINES = r"lines AS (SELECT id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: regexp_replace(regexp_replace(x, '^[\s\x0B]+', ''), '[\s\x0B]+$', '')), lambda x: x <> '')) AS line FROM d)"
+_CUT_LINES = r"lines AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS o FROM (SELECT id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: regexp_replace(regexp_replace(x, '^[\s\x0B]+', ''), '[\s\x0B]+$', '')), lambda x: x <> '') AS l FROM d) y)"
 _JUNK_SQL = f"""WITH {_DOCS_AND_PAGES}, {_CUT_LINES},
-f AS (SELECT id, line, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS s, strip_accents(lower(trim(regexp_replace(line, '\\s+', ' ', 'g')))) AS f, regexp_matches(line, '^\\p{{Nd}}{{1,4}}$') AS page FROM lines),
-c AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE {_CREDIT} OR {_JUNK} OR page) AS credits, first(f) AS opening,
+f AS (SELECT id, line, o, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS s, strip_accents(lower(trim(regexp_replace(line, '\\s+', ' ', 'g')))) AS f, regexp_matches(line, '^\\p{{Nd}}{{1,4}}$') AS page FROM lines),
+c AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE {_CREDIT} OR {_JUNK} OR page) AS credits, arg_min(f, o) AS opening,
       count(*) FILTER (WHERE starts_with(f, 'tartalom') OR ends_with(line, '.') OR contains(line, '...') OR regexp_matches(line, '(^|\\s)\\p{{Nd}}{{1,4}}$')) AS toc FROM f GROUP BY id),
 t AS (SELECT d.id, n_chars, coalesce(n, 0) AS n, coalesce(credits, 0) AS credits, opening, coalesce(toc, 0) AS toc, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS x, lower(substr(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1, 4096)) AS h, lower(substr(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1, 8192)) AS k, len(regexp_extract_all(text, '\\p{{L}}')) AS letters FROM d LEFT JOIN c USING (id)),
 m AS (SELECT *, length(h) - length(replace(replace(h, '<', ''), '>', '')) AS tags, (SELECT count(*) FROM (SELECT unnest(['http/1.', 'content-type:', 'content-length:', 'last-modified:', 'accept-ranges:']) AS w) q WHERE contains(k, w)) AS headers,
@@ -313,8 +313,7 @@ _SHARES = ", ".join(f"{{'share': len(list_filter(w, lambda x: x IN {_in(words.sp
 @query(
     "detected_language",
     f"""WITH d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), {_CUT_LINES},
-    o AS (SELECT id, line, row_number() OVER (PARTITION BY id) AS o FROM lines),
-    p AS (SELECT id, substr(string_agg(line, ' ' ORDER BY o), 1, 2000) AS s FROM o WHERE NOT regexp_matches(line, '[{{}};]\\s*$|^\\s*(#|//|<)|[=<>]{{2}}') AND len(regexp_extract_all(line, '\\p{{L}}')) * 2 >= length(line) GROUP BY id),
+    p AS (SELECT id, substr(string_agg(line, ' ' ORDER BY o), 1, 2000) AS s FROM lines WHERE NOT regexp_matches(line, '[{{}};]\\s*$|^\\s*(#|//|<)|[=<>]{{2}}') AND len(regexp_extract_all(line, '\\p{{L}}')) * 2 >= length(line) GROUP BY id),
     w AS (SELECT doc_id, lang, coalesce(s, '') AS s, regexp_split_to_array(lower(coalesce(s, '')), '[^\\p{{L}}]+') AS w FROM documents LEFT JOIN p ON p.id = doc_id WHERE text IS NOT NULL),
     r AS (SELECT doc_id, lang, len(regexp_extract_all(s, '\\p{{L}}')) >= 40 AS enough, list_reverse_sort([{_SHARES}]) AS r FROM w),
     c AS (SELECT doc_id, lang, r[1].code AS found, CASE WHEN enough AND r[1].share > 0 THEN r[1].share / (r[1].share + r[2].share) ELSE 0 END AS confidence FROM r),
