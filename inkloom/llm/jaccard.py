@@ -326,7 +326,8 @@ def _within(rows: DataFrame, scratch: Scratch, rounds: int, group_rows: int, n_s
         shown = shown.select("grp", F.col("rid").alias("other"), F.col("home").alias("home2"), F.col("n").alias("m"), F.col("a").alias("b"), "near", "mark", F.col("left").alias("left2"), "to", F.explode(can).alias("of"))
         # from the first mark they share on, either must have enough left
         fits = f"(home OR home2) AND {DEN} * least(n, m) >= {NUM} * greatest(n, m) AND {2 * (DEN + NUM)} * least(left, left2) >= a + b AND (near OR rid < other)"
-        pairs = scratch.save(asked.join(shown, ["grp", "mark", "of", "to"]).where(fits).select("grp", "rid", "other").distinct(), "pairs")
+        # merged, as marks of near copies take little room in files and many times that in a broadcast
+        pairs = scratch.save(asked.join(shown.hint("merge"), ["grp", "mark", "of", "to"]).where(fits).select("grp", "rid", "other").distinct(), "pairs")
         one = zs.select("grp", "rid", "doc_id", "n", "z")
         two = zs.select("grp", F.col("rid").alias("other"), F.col("doc_id").alias("doc2"), F.col("n").alias("m"), F.col("z").alias("z2"))
         both = pairs.join(one, ["grp", "rid"]).join(two.hint("merge"), ["grp", "other"])  # no rows with sets are broadcast

@@ -26,6 +26,7 @@ BITS = 14
 ORDERS = 4
 BLOCK = 1 << 20
 ROWS = 64
+FIT_ROWS = 256
 PIECE = 1 << 18
 BROADCAST_LANGS = 10_000
 
@@ -103,7 +104,8 @@ class Model:
 
 
 def fit(x: np.ndarray, langs: list[str], landmarks: int = 128, ridge: float = 1e-3) -> Model | None:
-    """Model from presence rows and their languages; the first rows of each language in turn are the landmarks."""
+    """Model from presence rows, Boolean or packed to bits, and their languages; the first rows of each language in
+    turn are the landmarks. Rows are unpacked and widened FIT_ROWS at a time."""
     names = sorted(set(langs))
     if not names:
         return None
@@ -112,8 +114,10 @@ def fit(x: np.ndarray, langs: list[str], landmarks: int = 128, ridge: float = 1e
     for c in range(len(names)):
         turn[y == c] = np.arange((y == c).sum())
     pick = np.lexsort((y, turn))[:landmarks]
-    model = Model(names, x[pick].T.astype(np.float32), np.sqrt(x[pick].sum(1)).astype(np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    k = model.kernel(x).astype(float)
+    plain = (lambda part: part) if x.dtype == bool else (lambda part: np.unpackbits(part, axis=1).view(bool))
+    marks = plain(x[pick])
+    model = Model(names, marks.T.astype(np.float32), np.sqrt(marks.sum(1)).astype(np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+    k = np.concatenate([model.kernel(plain(x[at : at + FIT_ROWS])) for at in range(0, len(x), FIT_ROWS)]).astype(float)
     value, vector = np.linalg.eigh(k[pick])
     good = value > 1e-6 * value.max()
     project = vector[:, good] / np.sqrt(value[good])
@@ -159,7 +163,7 @@ def train(docs: DataFrame, train_rows: int = 3000, train_chars: int = 20_000, la
     got.sort(key=lambda r: (r["lang"], r["bits"]))
     if not got:
         return None
-    x = np.unpackbits(np.stack([np.frombuffer(r["bits"], np.uint8) for r in got]), axis=1).astype(bool)
+    x = np.stack([np.frombuffer(r["bits"], np.uint8) for r in got])
     order = np.random.default_rng(7).permutation(len(got))
     return fit(x[order], [got[i]["lang"] for i in order], landmarks)
 
