@@ -37,6 +37,13 @@ def test_isbns(spark):
     assert values(spark, heads, identifiers.line_isbns("x")) == [["9780306406157"], ["9780306406157"], [], []]
 
 
+def test_isbns_that_begin_like_a_label(spark):
+    """Ten digits that begin with 10 or 13 aren't the number of a label, which still goes where it is one."""
+    cases = {"ISBN 100048646X": "9781000486469", "ISBN 1-302-86216-2": "9781302862169", "ISBN-10 0306406152": "9780306406157", "ISBN-10: 100048646X": "9781000486469", "ISBN 10 1-00-048646-X": "9781000486469", "ISBN-13 978-0-306-40615-7": "9780306406157", "ISBN-139780306406157": "9780306406157", "ISBN 100048646": None}
+    assert values(spark, list(cases), identifiers.isbn13("x")) == list(cases.values())
+    assert values(spark, ["ISBN 100048646X", "ISBN-10 100048646X", "ISBN 13 9780306406157 (pbk)"], identifiers.line_isbns("x")) == [["9781000486469"], ["9781000486469"], ["9780306406157"]]
+
+
 def test_dates_and_languages(spark):
     assert values(spark, ["2001-05-06", "2001-05", "2001", "2001-13", "0999", "2001-05-06T10:00:00Z", "May 2001"], dates.publication_date("x")) == ["2001-05-06", "2001-05", "2001", "", "", "2001-05-06", ""]
     assert values(spark, ["January 2, 2006", "2 Jan 2006", "Jan 2006", "2006", "soon"], dates.dump_date("x")) == ["2006-01-02", "2006-01-02", "2006-01", "2006", ""]
