@@ -44,6 +44,22 @@ def test_isbns_that_begin_like_a_label(spark):
     assert values(spark, ["ISBN 100048646X", "ISBN-10 100048646X", "ISBN 13 9780306406157 (pbk)"], identifiers.line_isbns("x")) == [["9781000486469"], ["9781000486469"], ["9780306406157"]]
 
 
+def test_head_never_cuts_a_character(spark):
+    cases = ["abc", "aé", "aéb", "a€b", "a€", "ab😀", "a😀b", "😀", "", "€�€"]
+    for most in range(4, 8):
+        want = [x.encode()[:most].decode(errors="ignore") for x in cases]
+        assert values(spark, cases, text.head("x", most)) == want
+    long = "x" + "é" * 40_000
+    assert values(spark, [long], text.head("x")) == [long[:32_768]]
+
+
+def test_gates_of_long_texts_with_cut_characters(spark):
+    """The 65,536th byte of these texts is within a letter."""
+    rows = spark.createDataFrame([(1, "xyz" + "é à\n" * 20_000), (2, "und " * 5 + "und" + "der Fluß und die See € im Tal\n" * 4_000)], "doc_id long, text string")
+    assert [r[0] for r in rows.select(quality.junk_reason("text", F.length("text"))).collect()] == [None, None]
+    assert {r["doc_id"]: r["code"] for r in quality.detect_languages(rows).collect()}[2] == "de"
+
+
 def test_dates_and_languages(spark):
     assert values(spark, ["2001-05-06", "2001-05", "2001", "2001-13", "0999", "2001-05-06T10:00:00Z", "May 2001"], dates.publication_date("x")) == ["2001-05-06", "2001-05", "2001", "", "", "2001-05-06", ""]
     assert values(spark, ["January 2, 2006", "2 Jan 2006", "Jan 2006", "2006", "soon"], dates.dump_date("x")) == ["2006-01-02", "2006-01-02", "2006-01", "2006", ""]
