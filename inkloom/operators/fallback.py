@@ -21,14 +21,13 @@ AUTHOR_SOURCES = ["claim", "metadata", "natural", "calibre", "calibre_author", "
 
 def readings(files: DataFrame) -> DataFrame:
     """Readings of each file's path (book_id, path, path_order): field, source, value; those that say nothing are out."""
-    read = files.select("book_id", "path_order", paths.calibre("path").alias("c"), paths.natural("path").alias("n"), paths.title_from_path("path").alias("whole"), paths.calibre_author("path").alias("at_end"), paths.folder_author("path").alias("folder"), paths.hypotheses("path").alias("h"))
+    read = files.select("book_id", "path_order", paths.calibre("path").alias("c"), paths.natural("path").alias("n"), paths.title_from_path("path").alias("whole"), paths.calibre_author("path").alias("at_end"), paths.folder_author("path").alias("folder"), paths.archive_reading("path")["author"].alias("archive"))
     read = Scratch(files.sparkSession, "readings").save(read, "readings")
     said = lambda field, source, value: F.struct(F.lit(field).alias("field"), F.lit(source).alias("source"), value.alias("value"))
-    archive = F.coalesce(F.get(F.filter("h", lambda x: x["kind"] == "archive"), F.lit(0))["author"], F.lit(""))
     name = F.when(~is_artifact_title("whole") & ~is_placeholder_title("whole"), F.col("whole")).otherwise("")
     every = F.array(
         said("title", "natural", F.col("n.title")), said("title", "calibre", F.col("c.title")), said("title", "name", name), said("author", "natural", canonical_author("n.author")), said("author", "calibre", F.col("c.author")),
-        said("author", "calibre_author", F.col("at_end")), said("author", "folder", F.col("folder")), said("author", "archive", archive),
+        said("author", "calibre_author", F.col("at_end")), said("author", "folder", F.col("folder")), said("author", "archive", F.col("archive")),
     )
     return read.select("book_id", "path_order", F.inline(every)).where("value <> ''")
 

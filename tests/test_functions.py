@@ -138,3 +138,32 @@ def test_word_lists_of_titles(spark):
     led = of(titles.is_credit, ["The press", "Egy press", "Una press", "Big press", "The old press house"])
     assert led == {"The press": False, "Egy press": False, "Una press": False, "Big press": True, "The old press house": True}
     assert F is not None
+
+
+def nodes(spark, *columns) -> int:
+    """Operations of the expressions as Spark keeps them: what is named twice in an expression is there twice."""
+    plan = spark.createDataFrame([("x", "y")], "x string, y string").select(*columns)._jdf.queryExecution().analyzed()
+    todo, n = [plan.expressions().apply(i) for i in range(plan.expressions().size())], 0
+    while todo and n < 5000:
+        e, n = todo.pop(), n + 1
+        todo += [e.children().apply(i) for i in range(e.children().size())]
+    return n
+
+
+@pytest.mark.parametrize("f, most", [(paths.natural, 2000), (paths.calibre, 1200), (paths.folder_author, 1200), (paths.calibre_author, 2000), (titles.name_score, 1200), (titles.title_score, 1200), (lambda c: paths.wash_author(c, F.col("y")), 1200)])
+def test_expressions_make_their_parts_once(spark, f, most):
+    assert nodes(spark, f(F.col("x"))) < most
+
+
+def test_ascii_and_other_texts_fold_alike(spark):
+    cases = ["A  Plain\tTitle", "Ünïcode\u00a0and ASCII", "\u212aelvin", "İstanbul", "no_break\u2003space", "ﬁ Æ", "e\u0301clat"]
+    marked = [x + " é" for x in cases]
+    assert [x + " e" for x in values(spark, cases, text.fold_all("x"))] == values(spark, marked, text.fold_all("x"))
+    assert [x + " e" for x in values(spark, cases, text.fold_latin("x"))] == values(spark, marked, text.fold_latin("x"))
+
+
+def test_parts_of_one_file_are_dealt_out(spark, tmp_path):
+    from inkloom.plans import catalog
+
+    spark.createDataFrame([(i, f"name {i}") for i in range(64)], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.table(spark, str(tmp_path), "part").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
