@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.functions.text import containment, fold_all, sanitize_query
+from inkloom.functions.text import containment, fold_all, let, sanitize_query
 from inkloom.session import Scratch
 
 
 def trigrams(c) -> Column:
-    s = fold_all(c)
-    return F.when(F.length(s) >= 3, F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substr(s, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    every = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substr(s, i, F.lit(3)))
+    return let(fold_all(c), lambda s: F.when(F.length(s) >= 3, every(s)).otherwise(F.array().cast("array<string>")))
 
 
 def trigram_index(rows: DataFrame, ident: str, field: str) -> DataFrame:
-    """ident, trigram and how often it occurs in the field."""
-    return rows.select(ident, F.explode(trigrams(field)).alias("trigram")).groupBy(ident, "trigram").agg(F.count("*").alias("tf"))
+    """ident, trigram and how often it occurs in the field. Fields are brought together by ident, not their trigrams, of
+    which there are many times more; what is counted is the trigrams of one ident."""
+    # runs of equal trigrams, from where each begins in the sorted list
+    begins = lambda g: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1)))
+    counted = lambda g, at: F.transform(at, lambda i, k: F.struct(F.get(g, i).alias("trigram"), (F.coalesce(F.get(at, k + 1), F.size(g)) - i).cast("long").alias("tf")))
+    grams = let(F.sort_array(F.flatten(F.transform("_f", trigrams))), lambda g: F.when(F.size(g) > 0, let(begins(g), lambda at: counted(g, at))))
+    fields = rows.where(F.col(field).isNotNull()).groupBy(ident).agg(F.collect_list(field).alias("_f"))
+    return fields.select(ident, F.inline(grams))
 
 
 def holds_words(field, words: list[str]) -> Column:
