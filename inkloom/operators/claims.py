@@ -7,7 +7,12 @@ task for each. Attestation and the tests of equivalence are column expressions w
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +29,8 @@ KIND = "file_id long, field string, value string, status string, cluster int, ch
 
 def key(s: str) -> str:
     """The title key of text.py, for use within a group."""
+    if s.isascii():
+        return " ".join(re.sub("[^a-z0-9]+", " ", s.lower()).split())
     out, latin = [], False
     for ch in unicodedata.normalize("NFD", " ".join(s.split()).lower()):
         if unicodedata.category(ch) == "Mn" and latin:
@@ -94,58 +101,93 @@ def prepare(claims: DataFrame) -> DataFrame:
     return joined.withColumn("weak", (F.col("field") == "title") & is_suspicious("value", attested)).drop("_k", "_echo")
 
 
-def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
-    out = []
+class _Claim(NamedTuple):
+    file_id: int
+    field: str
+    value: str
+    source: str
+    set: str
+    ordinal: int
+    attestation: str
+    junk: bool
+    weak: bool
+
+    @property
+    def rank(self) -> int:
+        return _RANK.get(self.source, len(SOURCES))
+
+    @property
+    def attested(self) -> bool:
+        return self.attestation in ("full", "substring")
+
+
+_NAMES = [c.split()[0] for c in KIND.split(", ")]
+_RANK = {s: n for n, s in enumerate(SOURCES)}
+
+
+def _status(cluster: list[_Claim]) -> str:
+    strong = [r for r in cluster if not r.weak]
+    several = len({r.source for r in strong}) > 1
+    if any(r.attested for r in strong):
+        return "confirmed" if several else "attested"
+    return "supported" if several else "weak"
+
+
+def _clusters(rows: list[_Claim]) -> Iterator[tuple]:
+    """Rows as KIND says, of the claims of one file."""
     for field, test in (("title", same_title), ("author", same_author)):
-        mine = rows[(rows["field"] == field) & ~rows["junk"]].copy()
-        mine["rank"] = [SOURCES.index(s) if s in SOURCES else len(SOURCES) for s in mine["source"]]
-        mine = mine.sort_values(["rank", "set", "ordinal", "value"], kind="stable")
-        clusters: list[list] = []
-        for r in mine.itertuples():
+        mine = [r for r in rows if r.field == field and r.value is not None and not r.junk]
+        mine.sort(key=lambda r: (r.rank, r.set is None, r.set or "", r.ordinal is None, r.ordinal or 0, r.value))
+        clusters: list[list[_Claim]] = []
+        for r in mine:
             for c in clusters:
                 if test(c[0].value, r.value):
                     c.append(r)
                     break
             else:
                 clusters.append([r])
-
-        def status(c):
-            strong = [r for r in c if not r.weak]
-            sources = {r.source for r in strong}
-            if any(r.attestation in ("full", "substring") for r in strong):
-                return "confirmed" if len(sources) > 1 else "attested"
-            return "supported" if len(sources) > 1 else "weak"
-
-        ranked = [(STATUSES.index(status(c)), len({r.source for r in c}), -c[0].rank, -n) for n, c in enumerate(clusters)]
-        best = max(range(len(clusters)), key=lambda n: ranked[n], default=None)
-        strong = sum(STATUSES.index(status(c)) >= 2 for c in clusters)
+        verdicts = [_status(c) for c in clusters]
+        sources = [len({r.source for r in c}) for c in clusters]
+        best = max(range(len(clusters)), key=lambda n: (STATUSES.index(verdicts[n]), sources[n], -clusters[n][0].rank, -n), default=None)
+        strong = sum(STATUSES.index(v) >= 2 for v in verdicts)
         for n, c in enumerate(clusters):
-            shown = min(c, key=lambda r: (r.weak, r.attestation not in ("full", "substring"), r.rank, -len(r.value)))
-            verdict = status(c)
+            shown = min(c, key=lambda r: (r.weak, not r.attested, r.rank, -len(r.value)))
+            verdict = verdicts[n]
             if field == "title" and strong > 1 and n != best and verdict in ("attested", "confirmed", "supported"):
                 verdict = "conflicted"
-            out.append((rows["file_id"].iloc[0], field, " ".join(shown.value.split()), verdict, n, n == best, len({r.source for r in c})))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in KIND.split(", ")])
+            yield shown.file_id, field, " ".join(shown.value.split()), verdict, n, n == best, sources[n]
+
+
+def _claims_of(rows: pd.DataFrame) -> Iterator[_Claim]:
+    return map(_Claim, *(rows[c].tolist() for c in _Claim._fields))
+
+
+def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
+    """The clusters of one file's claims, as frames."""
+    return pd.DataFrame([*_clusters([*_claims_of(rows)])], columns=_NAMES)
+
+
+def in_stream(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Clusters of the files of sorted batches."""
+    open_: list[_Claim] = []  # of the last file met, which may go on in the next batch
+    for batch in batches:
+        done: list[tuple] = []
+        for file, rows in groupby(_claims_of(batch), itemgetter(0)):
+            if open_ and open_[0].file_id != file:
+                done += _clusters(open_)
+                open_ = []
+            open_ += rows
+        if done:
+            yield pd.DataFrame(done, columns=_NAMES)
+    if open_ and (done := [*_clusters(open_)]):
+        yield pd.DataFrame(done, columns=_NAMES)
 
 
 def resolve(prepared: DataFrame) -> DataFrame:
     """Clusters of each file's title and author claims with their status, the chosen one marked. Rows are sorted within
     partitions and read as a stream, a file at a time, so that a partition makes one pass and no frame for each file."""
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            # the last file of a batch may go on in the next
-            cut = int((rows["file_id"] != rows["file_id"].iloc[-1]).sum()) if len(rows) else 0
-            done, rest = rows.iloc[:cut], rows.iloc[cut:]
-            if len(done):
-                yield pd.concat([_resolve(g) for _, g in done.groupby("file_id", sort=False)], ignore_index=True)
-        if rest is not None and len(rest):
-            yield _resolve(rest)
-
-    ordered = prepared.where("file_id IS NOT NULL").repartition("file_id").sortWithinPartitions("file_id")
-    return ordered.mapInPandas(run, KIND)
+    ordered = prepared.where("file_id IS NOT NULL").select(*_Claim._fields).repartition("file_id").sortWithinPartitions("file_id")
+    return ordered.mapInPandas(in_stream, KIND)
 
 
 def book_claims(claims: DataFrame, files: DataFrame) -> DataFrame:

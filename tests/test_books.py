@@ -211,3 +211,19 @@ def slow(batch):
 
     time.sleep(0.3)
     return batch
+
+
+def test_claims_travel_by_value():
+    """What runs on executors names nothing that would have to be imported there, and makes no frame for a file."""
+    import subprocess
+    import sys
+
+    import pandas as pd
+    from pyspark import cloudpickle
+
+    n = 2000
+    rows = pd.DataFrame({"file_id": [i // 4 for i in range(4 * n)], "field": ["title", "title", "author", "author"] * n, "value": ["A River", "The River", "Ada Brook", "Brook, Ada"] * n, "source": ["metadata", "filename"] * 2 * n, "set": ["s"] * 4 * n, "ordinal": [0] * 4 * n, "attestation": ["none"] * 4 * n, "junk": [False] * 4 * n, "weak": [False] * 4 * n})
+    f = cloudpickle.dumps((claims.in_stream, rows))
+    code = "import pickle, sys, time; f, rows = pickle.load(sys.stdin.buffer); t = time.process_time(); n = sum(len(x) for x in f([rows])); print(n, time.process_time() - t < 4)"
+    out = subprocess.run([sys.executable, "-P", "-c", code], input=f, capture_output=True, cwd="/", env={})
+    assert out.stdout.split() == [str(3 * n).encode(), b"True"], out.stderr[-500:]
