@@ -167,3 +167,12 @@ def test_parts_of_one_file_are_dealt_out(spark, tmp_path):
 
     spark.createDataFrame([(i, f"name {i}") for i in range(64)], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert catalog.table(spark, str(tmp_path), "part").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_signatures_at_the_ends_of_the_residues(spark):
+    """Against whole numbers of Python: 0, the largest residue, repeats, none, and more than fill a block."""
+    a, b = dedup.coefficients(512)
+    sets = [[0], [dedup.PRIME - 1], [dedup.PRIME - 1, 0, 0], [], None, [i * 7_654_321 % dedup.PRIME for i in range(1, 400)]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "i int, h array<long>").select("i", dedup.signature_udf()("h").alias("s"))
+    want = [[min((x * m + k) % dedup.PRIME for x in s) for m, k in zip(a, b)] if s else None for s in sets]
+    assert [r["s"] for r in rows.orderBy("i").collect()] == want
