@@ -165,3 +165,14 @@ def test_tables_and_reports(spark, tmp_path):
     assert [(r["title"], [f["path"] for f in r["files"]]) for r in report.collect()] == [("A", ["p3"]), ("B", ["p1", "p2"])]
     ids = spark.createDataFrame([(1, 0), (9, 1), (2, 2), (1, 3)], "book_id long, pos int")
     assert [r["book_id"] for r in reports.requested_books(report, ids).collect()] == [1, 2]
+
+
+def test_tokens_of_names_are_made_before_the_join(spark):
+    found = spark.createDataFrame([(1, "E1", ["A1", "A2"], 0.5, None, None), (2, "E1", ["A1"], 0.5, None, None), (3, "E2", [], 0.5, None, None)], "book_id long, edition_key string, author_keys array<string>, title_score double, isbn string, priority int")
+    authors = spark.createDataFrame([("A1", ["Kis Pál", ""]), ("A2", ["Brook, Ada"])], "author_key string, names array<string>")
+    books = spark.createDataFrame([(1, [["ada", "brook"], ["other"]]), (2, [["pal"]]), (3, [["ada"]])], "book_id long, author_tokens array<array<string>>")
+    out = match.resolve_authors(found.withColumn("author_score", F.lit(0.0)), authors, books)
+    assert {r["book_id"]: (r["author_score"], r["author_names"]) for r in out.collect()} == {1: (1.0, ["Kis Pál", "Brook, Ada"]), 2: (0.5, ["Kis Pál"]), 3: (0.0, [])}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Relation" if "Relation" in plan else "LogicalRDD")]
+    assert "_tokens" in plan and "translate" not in above.split("Join")[0]
