@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkloom.functions.text import let
+
 EDITION = (
     "key string, title string, subtitle string, isbn_10 array<string>, isbn_13 array<string>, authors array<struct<key:string,author:struct<key:string>>>, works array<struct<key:string>>, "
     "publishers array<string>, publish_date string, series array<string>, languages array<struct<key:string>>, oclc_numbers array<string>, oclc_number array<string>, lccn array<string>, "
@@ -54,20 +56,24 @@ def ref_keys(refs) -> Column:
     return F.array_distinct(F.filter(F.transform(F.coalesce(refs, F.array().cast("array<struct<key:string,author:struct<key:string>>>")), lambda r: F.coalesce(F.nullif(r["key"], F.lit("")), r["author"]["key"])), lambda k: k.isNotNull() & (k != "")))
 
 
+def _sound(json: Column) -> Column:
+    """Whether JSON is an object whose title, name and ISBNs are of their types."""
+
+    def typed(v):
+        is_kind = lambda field, kinds: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")).rlike(kinds), F.lit(True))
+        text, texts = "^(STRING|VOID)$", "^(ARRAY<(STRING|VOID)>|VOID)$"
+        return is_kind("title", text) & is_kind("name", text) & is_kind("isbn_13", texts) & is_kind("isbn_10", texts)
+
+    return F.json_object_keys(json).isNotNull() & let(F.try_parse_json(json), typed)
+
+
 def records(rows: DataFrame, kind: str) -> DataFrame:
     """line_no, key, r (the typed record) and json of rows of a type; the JSON's key wins over the row's. Rows whose
     JSON can't be read, or whose title or list of ISBNs is of another type, are malformed and left out."""
     schema = SCHEMAS[kind]
     own = rows.where((F.col("type") == kind) & ~F.col("malformed"))
-    v = F.try_parse_json("json")
-    is_kind = lambda field, kinds: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")).rlike(kinds), F.lit(True))
-    wrong = F.lit(False)
-    for field in ("title", "name"):
-        wrong = wrong | ~is_kind(field, "^(STRING|VOID)$")
-    for field in ("isbn_13", "isbn_10"):
-        wrong = wrong | ~is_kind(field, "^(ARRAY<(STRING|VOID)>|VOID)$")
-    valid = F.coalesce(F.json_object_keys("json").isNotNull(), F.lit(False))
-    typed = own.where(valid & ~wrong).withColumn("r", _typed(F.col("json"), schema))
+    # Spark puts a row's own expressions in for its columns where it filters, so the JSON is named and parsed once
+    typed = own.where(let("json", _sound)).withColumn("r", _typed(F.col("json"), schema))
     key = F.coalesce(F.nullif(F.col("r.key"), F.lit("")), F.col("key"))
     return typed.select("line_no", key.alias("key"), "r", "json")
 

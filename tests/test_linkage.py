@@ -176,3 +176,10 @@ def test_tokens_of_names_are_made_before_the_join(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Relation" if "Relation" in plan else "LogicalRDD")]
     assert "_tokens" in plan and "translate" not in above.split("Join")[0]
+
+
+def test_json_of_a_dump_is_named_few_times(spark):
+    rows = dump.split_rows(spark.createDataFrame([("/type/edition\t/books/1\t1\t2\t{\"key\": \"/books/1\", \"title\": \"A\"}", 1), ("/type/edition\t/books/2\t1\t2\t{\"title\": 5}", 2), ("/type/edition\t/books/3\t1\t2\t[1]", 3)], "value string, line_no long"))
+    out = dump.editions(rows)
+    assert [(r["line_no"], r["title"]) for r in out.collect()] == [(1, "A")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") + out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 2
